@@ -20,8 +20,12 @@ def first_match(text: Column, lexicon: list[tuple[str, str]], default: str) -> C
 
 
 def count_contained(text: Column, words: list[str]) -> Column:
-    """Number of keywords that occur as substrings (no word boundaries)."""
-    return sum((text.contains(w).cast("int") for w in words), F.lit(0))
+    """Number of keywords that occur as substrings (no word boundaries).
+
+    One higher-order ``filter`` over a literal array keeps the expression tree
+    small however long the list is (a chain of additions would be inlined and
+    canonicalised again at every reference)."""
+    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w)))
 
 
 # ---------------------------------------------------------------------------

@@ -105,11 +105,8 @@ def classify(df: DataFrame, text: str = "text") -> DataFrame:
 
 def route_intent(df: DataFrame) -> DataFrame:
     """H7: intent -> routed node (fixed map; unknown -> general)."""
-    route = None
-    for intent, node in L.ROUTES:
-        c = F.col("intent") == intent
-        route = F.when(c, node) if route is None else route.when(c, node)
-    return df.withColumn("routed_node", route.otherwise("general"))
+    routes = F.create_map(*[F.lit(x) for pair in L.ROUTES for x in pair])
+    return df.withColumn("routed_node", F.coalesce(routes[F.col("intent")], F.lit("general")))
 
 
 def requested_metric(df: DataFrame, text: str = "text") -> DataFrame:

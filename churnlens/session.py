@@ -31,6 +31,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         # parquet timestamps of the inputs are zone-less; keep them that way
         "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
     }
+    if SparkSession.getActiveSession() is None and not os.environ.get("PYSPARK_SUBMIT_ARGS"):
+        # local runs only: a launcher-provided session keeps its own sizing
+        conf.setdefault("spark.driver.memory", os.environ.get("CHURNLENS_DRIVER_MEMORY", "16g"))
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in conf.items():
