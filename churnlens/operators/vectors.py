@@ -86,11 +86,22 @@ def hashed_embedding(text: Column, dim: int = DEFAULT_DIM) -> Column:
 
 def embed(chunks: DataFrame, dim: int = DEFAULT_DIM, embedded_at: str | Column | None = None) -> DataFrame:
     """D7 default path: vector, model, dimension and time on the chunk row.
-    The vector and its source hash stay in the same row (see A5)."""
+    The vector and its source hash stay in the same row (see A5).
+
+    Buckets, distinct keys, counts and the norm are separate projections so
+    each is computed once per row (inlined into the lambdas they would be
+    recomputed per key)."""
     at = (F.lit(embedded_at).cast("timestamp_ntz") if isinstance(embedded_at, str)
           else (embedded_at if embedded_at is not None else F.current_timestamp().cast("timestamp_ntz")))
-    return chunks.select("*", hashed_embedding(F.col("text"), dim).alias("embedding"),
-                         F.lit(MODEL_NAME).alias("model"), F.lit(dim).alias("dimension"), at.alias("embedded_at"))
+    cols = chunks.columns
+    b = chunks.select("*", F.transform(tokens(F.col("text")), lambda t: bucket(t, dim)).alias("_b"))
+    k = b.select("*", F.array_distinct("_b").alias("_k"))
+    c = k.select("*", F.transform("_k", lambda key: F.size(F.filter("_b", lambda x: x == key)).cast("double"))
+                 .alias("_c"))
+    n = c.select("*", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda acc, x: acc + x * x)).alias("_n"))
+    vec = F.when(F.size("_k") > 0, F.map_from_arrays("_k", F.transform("_c", lambda x: x / F.col("_n"))))
+    return n.select(*cols, vec.alias("embedding"), F.lit(MODEL_NAME).alias("model"), F.lit(dim).alias("dimension"),
+                    at.alias("embedded_at"))
 
 
 def embed_with_model(chunks: DataFrame, encode, dim: int, model: str) -> DataFrame:
