@@ -44,6 +44,46 @@ def _matched(text: Column, patterns: list[str]) -> Column:
                     lambda x: x.isNotNull())
 
 
+def _any(patterns: list[str]) -> str:
+    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+
+
+def with_injection_matches(df: DataFrame, text: str = "text") -> DataFrame:
+    """Matched pattern lists as materialised columns ``_inj_high``/``_inj_sus``.
+
+    One alternation pass per list decides whether any pattern matches; the
+    per-pattern scan (needed only for the detail) runs on the rare texts that
+    match. The separate projections keep each regex evaluated once per row."""
+    t = F.col(text)
+    flagged = df.select("*", t.rlike(_any(L.INJECTION_HIGH)).alias("_any_high"),
+                        t.rlike(_any(L.INJECTION_SUSPICIOUS)).alias("_any_sus"))
+    empty = F.array().cast("array<string>")
+    return flagged.select(
+        *df.columns,
+        F.when(F.col("_any_high"), _matched(t, L.INJECTION_HIGH)).otherwise(empty).alias("_inj_high"),
+        F.when(F.col("_any_sus") & ~F.col("_any_high"), _matched(t, L.INJECTION_SUSPICIOUS))
+        .otherwise(empty).alias("_inj_sus"))
+
+
+def injection_result(high: Column, sus: Column) -> Column:
+    """G3 result from the matched lists."""
+    is_high, is_sus = F.size(high) > 0, F.size(sus) > 0
+    return result(~(is_high | is_sus),
+                  F.when(is_high, "block").when(is_sus, "flag").otherwise("pass"), "prompt_injection",
+                  F.when(is_high, F.lit("Prompt-injection pattern detected."))
+                  .when(is_sus, F.lit("Suspicious prompt-injection pattern."))
+                  .otherwise(F.lit("No injection patterns detected.")),
+                  F.when(is_high, F.concat(F.lit("high_confidence="), F.array_join(high, "|")))
+                  .when(is_sus, F.concat(F.lit("suspicious="), F.array_join(sus, "|"))))
+
+
+def prompt_injection_df(df: DataFrame, text: str = "text", keys: list[str] | None = None) -> DataFrame:
+    """G3 over a table: keys + the result columns."""
+    m = with_injection_matches(df, text)
+    return m.select(*(keys or []), injection_result(F.col("_inj_high"), F.col("_inj_sus")).alias("r")) \
+        .select(*(keys or []), "r.*")
+
+
 def prompt_injection(text: Column) -> Column:
     """Any high-confidence pattern blocks; else any suspicious one flags."""
     high, sus = _matched(text, L.INJECTION_HIGH), _matched(text, L.INJECTION_SUSPICIOUS)
@@ -77,14 +117,17 @@ def input_eval(df: DataFrame, text: str = "text", keys: list[str] | None = None,
     """All input checks per text in long form; a non-string stops after G1.
     ``any_block`` is computed on the row's own array before the explode."""
     t = F.col(text)
-    checks = [input_schema(t), length_cap(t), prompt_injection(t)]
-    if verdict is not None:
-        checks.append(moderation(verdict))
-    arr = F.when(t.isNull(), F.array(checks[0])).otherwise(F.array(*checks))
     keys = keys or []
-    return (df.select(*keys, arr.alias("_r"))
-              .withColumn("any_block", F.exists("_r", lambda r: r["severity"] == "block"))
-              .select(*keys, "any_block", F.posexplode("_r").alias("check_order", "r"))
+    base = df.select(*keys, t.alias("_t"), *([verdict.alias("_v")] if verdict is not None else []))
+    m = with_injection_matches(base, "_t")
+    tt = F.col("_t")
+    checks = [input_schema(tt), length_cap(tt), injection_result(F.col("_inj_high"), F.col("_inj_sus"))]
+    if verdict is not None:
+        checks.append(moderation(F.col("_v")))
+    any_block = (tt.isNull() | (F.length(tt) > L.MAX_INPUT_CHARS) | (F.size("_inj_high") > 0)
+                 | (F.coalesce(F.col("_v"), F.lit(False)) if verdict is not None else F.lit(False)))
+    arr = F.when(tt.isNull(), F.array(checks[0])).otherwise(F.array(*checks))
+    return (m.select(*keys, any_block.alias("any_block"), F.posexplode(arr).alias("check_order", "r"))
               .select(*keys, "check_order", "r.*", "any_block"))
 
 
@@ -138,10 +181,19 @@ def citations(a: Column) -> Column:
                   F.when(bad, F.array_join(uncited, "|")))
 
 
+# every PII kind needs one of these characters; a byte search skips the regex
+# for texts that cannot match (an email needs '@', a phone or card number a digit)
+PII_PREFILTER = {"email": "@", "phone": "[0-9]", "credit_card": "[0-9]"}
+
+
 def pii_matches(text: Column, kind: str) -> Column:
     """Up to 3 whole matches of one PII kind in one text."""
     pattern = dict(L.PII_PATTERNS)[kind]
-    return F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0), 1, 3)
+    t = F.coalesce(text, F.lit(""))
+    need = PII_PREFILTER[kind]
+    possible = t.contains(need) if len(need) == 1 else t.rlike(need)
+    return F.when(possible, F.slice(F.regexp_extract_all(t, F.lit(pattern), 0), 1, 3)) \
+        .otherwise(F.array().cast("array<string>"))
 
 
 def answer_texts(a: Column) -> Column:
