@@ -12,7 +12,7 @@ literals), never a cross join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.lexicons import CHURN_STATUSES, EVENT_TYPES, TICKET_CATEGORIES
@@ -107,11 +107,22 @@ def feedback_aggregates(fact_feedback: DataFrame) -> DataFrame:
     )
 
 
+def last_event_type(fact_sub: DataFrame) -> DataFrame:
+    """C14: the correlated "latest event" subquery as ``row_number() = 1`` per
+    customer ordered by (event_date, input position, event_type) descending —
+    a WindowGroupLimit keeps one row per customer per map task before the
+    shuffle, and no string-valued aggregation buffer forces a sort aggregate."""
+    w = Window.partitionBy("customer_id").orderBy(F.desc("event_date"), F.desc("_input_row_number"),
+                                                 F.desc("event_type"))
+    return (fact_sub.select("customer_id", "event_date", "_input_row_number", "event_type")
+            .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
+            .select("customer_id", F.col("event_type").alias("last_event_type")))
+
+
 def subscription_aggregates(fact_sub: DataFrame) -> DataFrame:
     """C13 + C14: event counts, revenue delta, last event date and type.
-
-    The correlated "latest event" subquery becomes ``max_by`` over
-    (event_date, input position, event_type) inside the same aggregate."""
+    The counts are one hash aggregate; both sides are partitioned by
+    customer_id, so joining the last event type adds no exchange."""
     et = F.col("event_type")
     aggs = [F.count_if(et == "cancellation").alias("cancellations"),
             F.count_if(et == "downgrade").alias("downgrades"),
@@ -119,9 +130,8 @@ def subscription_aggregates(fact_sub: DataFrame) -> DataFrame:
             F.count_if(et == "renewal").alias("renewals"),
             F.count_if(et.isin([e for e, _ in EVENT_TYPES])).alias("total_events"),
             F.sum("revenue_change").alias("revenue_change_sum"),
-            F.max("event_date").alias("last_event_date"),
-            F.max_by(et, F.struct("event_date", "_input_row_number", "event_type")).alias("last_event_type")]
-    return fact_sub.groupBy("customer_id").agg(*aggs)
+            F.max("event_date").alias("last_event_date")]
+    return fact_sub.groupBy("customer_id").agg(*aggs).join(last_event_type(fact_sub), "customer_id")
 
 
 def churn_proxy(status=None):
@@ -193,43 +203,54 @@ def segment_base(features: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def segment_metrics(features: DataFrame, dim: DataFrame) -> DataFrame:
-    """C17: per-segment and per-plan rows in ONE grouping-sets aggregation,
-    each carrying the global benchmark (a single struct scalar subquery)."""
+    """C17: per-segment rows, per-plan rows and the global benchmark from ONE
+    grouping-sets aggregation ((segment), (plan), ()) — a single pass over the
+    customer base with partial aggregation. The global row is then attached
+    to the others with a window over the aggregated result, which holds one
+    row per segment and plan (bounded), not per customer.
+
+    customer_base has exactly one row per customer_id (deduplicated dimension
+    joined 1:1 to the features), so ``count(DISTINCT customer_id)`` equals the
+    row count and is computed as such (no distinct-aggregate expansion)."""
     base = segment_base(features, dim)
-    g = global_stats(base)
-    gs = g.select(F.struct(*g.columns)).scalar()
     churn = F.coalesce(F.col("churn_proxy"), F.lit(False))
-    # customer_base is one row per customer (dedup + 1:1 join) so the distinct
-    # customer count equals the row count; count(DISTINCT) kept for fidelity.
-    n = F.count_distinct("customer_id")
+    n = F.count(F.lit(1))
     complaint = (F.col("ticket_count") > 0) & ((F.col("tickets_urgent") > 0) | (F.col("tickets_bug") > 0)
                                                | (F.col("tickets_billing") > 0))
     agg = base.groupingSets(
-        [[F.col("customer_segment")], [F.col("subscription_plan")]], "customer_segment", "subscription_plan"
+        [[F.col("customer_segment")], [F.col("subscription_plan")], []], "customer_segment", "subscription_plan"
     ).agg(
-        F.grouping("customer_segment").alias("_g_seg"),
+        F.grouping("customer_segment").alias("_g_seg"), F.grouping("subscription_plan").alias("_g_plan"),
         n.alias("customers"),
         F.sum("monthly_revenue").alias("revenue"),
-        F.count_distinct(F.when(F.col("monthly_revenue").isNotNull(), F.col("customer_id")))
-        .alias("revenue_customers"),
+        F.count_if(F.col("monthly_revenue").isNotNull()).alias("revenue_customers"),
         F.count_if(F.col("ticket_count") > 0).alias("customers_with_tickets"),
         F.sum("ticket_count").alias("ticket_count"),
         (F.count_if(complaint) * F.lit(1.0) / F.when(n != 0, n)).alias("complaint_rate"),
         F.avg("average_resolution_time_hours").alias("average_resolution_time_hours"),
         F.avg("average_satisfaction_score").alias("average_satisfaction_score"),
+        F.count_if(churn).alias("_churn"),
         (F.count_if(churn) * F.lit(1.0) / F.when(n != 0, n)).alias("cancel_rate"),
     )
-    gc = gs["global_customers"]
-    return agg.select(
+    is_global = (F.col("_g_seg") == 1) & (F.col("_g_plan") == 1)
+    everything = Window.partitionBy()
+
+    def glob(c):
+        return F.max(F.when(is_global, F.col(c))).over(everything)
+
+    out = agg.select(
+        "*", glob("customers").alias("global_customers"), glob("revenue").alias("global_revenue"),
+        glob("average_resolution_time_hours").alias("global_average_resolution"),
+        glob("average_satisfaction_score").alias("global_average_satisfaction"),
+        glob("_churn").alias("global_churn"))
+    gc = F.col("global_customers")
+    return out.filter(~is_global).select(
         F.when(F.col("_g_seg") == 0, F.col("customer_segment")).alias("segment"),
-        F.when(F.col("_g_seg") == 1, F.col("subscription_plan")).alias("plan"),
+        F.when(F.col("_g_plan") == 0, F.col("subscription_plan")).alias("plan"),
         "customers", "revenue", "revenue_customers", "customers_with_tickets", "ticket_count",
         "complaint_rate", "average_resolution_time_hours", "average_satisfaction_score", "cancel_rate",
-        gc.alias("global_customers"), gs["global_revenue"].alias("global_revenue"),
-        gs["global_average_resolution"].alias("global_average_resolution"),
-        gs["global_average_satisfaction"].alias("global_average_satisfaction"),
-        gs["global_churn"].alias("global_churn"),
-        (gs["global_churn"] * F.lit(1.0) / F.when(gc != 0, gc)).alias("global_cancel_rate"),
+        "global_customers", "global_revenue", "global_average_resolution", "global_average_satisfaction",
+        "global_churn", (F.col("global_churn") * F.lit(1.0) / F.when(gc != 0, gc)).alias("global_cancel_rate"),
     ).orderBy(F.asc_nulls_last("segment"), F.asc_nulls_last("plan"))
 
 

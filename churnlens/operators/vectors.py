@@ -100,8 +100,12 @@ def embed(chunks: DataFrame, dim: int = DEFAULT_DIM, embedded_at: str | Column |
                  .alias("_c"))
     n = c.select("*", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda acc, x: acc + x * x)).alias("_n"))
     vec = F.when(F.size("_k") > 0, F.map_from_arrays("_k", F.transform("_c", lambda x: x / F.col("_n"))))
-    return n.select(*cols, vec.alias("embedding"), F.lit(MODEL_NAME).alias("model"), F.lit(dim).alias("dimension"),
-                    at.alias("embedded_at"))
+    # ``embedded_ok`` is the cheap equivalent of "vector is not NULL" (a text
+    # with at least one token); filters use it so the optimizer never inlines
+    # the vector expression into a pushed-down predicate
+    ok = F.lower(F.col("text")).rlike("[a-z0-9]")
+    return n.select(*cols, vec.alias("embedding"), F.coalesce(ok, F.lit(False)).alias("embedded_ok"),
+                    F.lit(MODEL_NAME).alias("model"), F.lit(dim).alias("dimension"), at.alias("embedded_at"))
 
 
 def embed_with_model(chunks: DataFrame, encode, dim: int, model: str) -> DataFrame:
@@ -125,9 +129,10 @@ def embed_with_model(chunks: DataFrame, encode, dim: int, model: str) -> DataFra
                 out.extend([None] * len(batch))
         return pd.Series(out)
 
-    return chunks.select("*", _encode(F.col("text")).alias("embedding"), F.lit(model).alias("model"),
-                         F.lit(dim).alias("dimension"),
-                         F.current_timestamp().cast("timestamp_ntz").alias("embedded_at"))
+    out = chunks.select("*", _encode(F.col("text")).alias("embedding"), F.lit(model).alias("model"),
+                        F.lit(dim).alias("dimension"),
+                        F.current_timestamp().cast("timestamp_ntz").alias("embedded_at"))
+    return out.withColumn("embedded_ok", F.col("embedding").isNotNull())
 
 
 # -- D5, D6: incremental sync ---------------------------------------------------------------
@@ -145,8 +150,8 @@ def sync_counts(chunks: DataFrame, store: DataFrame | None, embedded_delta: Data
     """Embedded / skipped / failed in one row (failed = NULL vector)."""
     c = with_hash(chunks) if "source_hash" not in chunks.columns else chunks
     total = c.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    d = embedded_delta.agg(F.count_if(F.col("embedding").isNotNull()).alias("embedded"),
-                           F.count_if(F.col("embedding").isNull()).alias("failed"))
+    d = embedded_delta.agg(F.count_if(F.col("embedded_ok")).alias("embedded"),
+                           F.count_if(~F.col("embedded_ok")).alias("failed"))
     return d.select("embedded", (total - F.col("embedded") - F.col("failed")).alias("skipped"), "failed")
 
 
@@ -154,7 +159,7 @@ def store_rows(embedded: DataFrame) -> DataFrame:
     """A5 row shape: the vector and its meta (hash, model, dimension, time)
     in ONE row, so one append commit writes both or neither. Failed chunks
     (no vector) are not stored and will be retried next run."""
-    return embedded.filter(F.col("embedding").isNotNull()).select(
+    return embedded.filter(F.col("embedded_ok")).select(
         "record_type", "record_id", "customer_id", "created_at", "text", "metadata", "embedding", "model",
         "dimension", "embedded_at", "source_hash")
 
@@ -203,9 +208,14 @@ def retrieve(store: DataFrame, query: str, k: int = 20, filters: dict | None = N
     # bind the scalar subquery to a column first: higher-order functions may
     # only reference attributes, and the subquery is still evaluated once
     s = apply_filters(store, filters).withColumn("_q", q).select(
-        "record_type", "record_id", "customer_id", "created_at", "text", "metadata",
+        "record_type", "record_id", "customer_id", "created_at", "text", "metadata", "embedded_at", "source_hash",
         sparse_dot(F.col("_q"), F.col("embedding")).alias("score"))
-    return s.orderBy(F.desc_nulls_last("score"), "record_type", "record_id").limit(k)
+    # newest version per record after scoring: the vectors are dropped before
+    # the shuffle (filters are on per-record attributes, so filtering first
+    # gives the same records as filtering the latest versions)
+    s = latest_only(s)
+    return s.orderBy(F.desc_nulls_last("score"), "record_type", "record_id").limit(k).drop(
+        "embedded_at", "source_hash")
 
 
 def token_overlap(query: str, text: Column) -> Column:
@@ -282,9 +292,15 @@ def store_stats(store: DataFrame) -> DataFrame:
                                                   F.count(F.lit(1)).alias("rows"))
 
 
+def latest_only(df: DataFrame) -> DataFrame:
+    """Newest row per record (ties: larger hash). A ``row_number() = 1`` filter:
+    Spark plans a WindowGroupLimit before the shuffle, so each map task ships
+    at most one row per record, and no wide struct aggregation buffer is built."""
+    w = Window.partitionBy("record_type", "record_id").orderBy(F.desc("embedded_at"), F.desc("source_hash"))
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+
+
 def latest_per_record(store: DataFrame) -> DataFrame:
     """The newest vector per (record_type, record_id); an append-only
     store keeps stale vectors of changed records and forced re-embeds."""
-    cols = [c for c in store.columns if c not in ("record_type", "record_id")]
-    best = F.max_by(F.struct(*cols), F.struct("embedded_at", "source_hash"))
-    return store.groupBy("record_type", "record_id").agg(best.alias("r")).select("record_type", "record_id", "r.*")
+    return latest_only(store)

@@ -29,15 +29,44 @@ class Tables:
         raise AttributeError(name)
 
 
+WAREHOUSE_CONF = "churnlens.warehouse"
+WAREHOUSE_SOURCE_CONF = "churnlens.warehouse.source"
+# tables the build job materialises (plans/build.py); read back as parquet
+WAREHOUSE_TABLES = ("clean_customers", "audit_customers", "clean_tickets", "audit_tickets", "dimension_customer",
+                    "fact_ticket",
+                    "fact_feedback", "fact_usage", "fact_subscription_event", "aggregate_theme",
+                    "customer_features", "segment_metrics", "vector_store")
+
+
+def warehouse_for(spark: SparkSession, sf_dir: str) -> str | None:
+    """The registered warehouse path when it was built from ``sf_dir``."""
+    path = spark.conf.get(WAREHOUSE_CONF, None)
+    src = spark.conf.get(WAREHOUSE_SOURCE_CONF, None)
+    return path if path and src and src.rstrip("/") == sf_dir.rstrip("/") else None
+
+
 class Model:
     """All derived frames of one run (raw -> clean -> star -> aggregates).
 
-    Every property is a plan built once per Model; nothing is collected.
+    Every property is a plan built once per Model; nothing is collected. With
+    ``warehouse`` the materialised tables are read from parquet instead.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, warehouse: str | None = None,
+                 tables: tuple[str, ...] = WAREHOUSE_TABLES):
         self.spark = spark
         self.t = Tables(spark, sf_dir)
+        self.warehouse = warehouse if tables == WAREHOUSE_TABLES else None
+        if warehouse:
+            for name in tables:
+                self.__dict__[name] = spark.read.parquet(f"{warehouse.rstrip('/')}/{name}")
+
+    @cached_property
+    def vector_store(self) -> DataFrame:
+        """Latest-per-record chunk vectors (built by the warehouse job)."""
+        from churnlens.operators import vectors
+        chunks = vectors.with_hash(vectors.chunks_all(self))
+        return vectors.store_rows(vectors.embed(chunks, embedded_at="2024-03-01"))
 
     # -- raw inputs (with defects), mapped from the driver tables ------------
     @cached_property
@@ -67,24 +96,24 @@ class Model:
 
     # -- clean tables ----------------------------------------------------------
     @cached_property
-    def clean_customers_audited(self) -> DataFrame:
+    def clean_customers(self) -> DataFrame:
         from churnlens.operators.cleanse import clean_customers
         return clean_customers(self.raw_customers)
 
     @cached_property
-    def clean_customers(self) -> DataFrame:
-        from churnlens.operators.cleanse import drop_audit
-        return drop_audit(self.clean_customers_audited)
+    def audit_customers(self) -> DataFrame:
+        from churnlens.operators.cleanse import staging_audit_customers
+        return staging_audit_customers(self.raw_customers)
 
     @cached_property
-    def clean_tickets_audited(self) -> DataFrame:
+    def clean_tickets(self) -> DataFrame:
         from churnlens.operators.cleanse import clean_tickets
         return clean_tickets(self.raw_tickets)
 
     @cached_property
-    def clean_tickets(self) -> DataFrame:
-        from churnlens.operators.cleanse import drop_audit
-        return drop_audit(self.clean_tickets_audited)
+    def audit_tickets(self) -> DataFrame:
+        from churnlens.operators.cleanse import staging_audit_tickets
+        return staging_audit_tickets(self.raw_tickets)
 
     @cached_property
     def clean_feedback(self) -> DataFrame:
