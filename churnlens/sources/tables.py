@@ -57,9 +57,17 @@ class Model:
         self.spark = spark
         self.t = Tables(spark, sf_dir)
         self.warehouse = warehouse if tables == WAREHOUSE_TABLES else None
-        if warehouse:
-            for name in tables:
-                self.__dict__[name] = spark.read.parquet(f"{warehouse.rstrip('/')}/{name}")
+        self._stored = {name: f"{warehouse.rstrip('/')}/{name}" for name in tables} if warehouse else {}
+
+    def __getattribute__(self, name: str):
+        # a materialised table is read (once, lazily) instead of derived again
+        stored = object.__getattribute__(self, "__dict__").get("_stored", {})
+        if name in stored:
+            cache = object.__getattribute__(self, "__dict__")
+            if name not in cache:
+                cache[name] = object.__getattribute__(self, "spark").read.parquet(stored[name])
+            return cache[name]
+        return object.__getattribute__(self, name)
 
     @cached_property
     def vector_store(self) -> DataFrame:

@@ -28,8 +28,8 @@ def test_incremental_sync(fx):
     assert chunks.count() == 5  # 2 feedback with text + 3 tickets
     first = vectors.store_rows(vectors.embed(chunks, embedded_at="2024-01-01"))
     assert vectors.sync_delta(chunks, first).count() == 0
-    changed = chunks.withColumn("text", F.when(F.col("record_id") == "TCK-0002", F.lit("Question | new"))
-                                .otherwise(F.col("text")))
+    changed = vectors.with_hash(chunks.drop("source_hash").withColumn(
+        "text", F.when(F.col("record_id") == "TCK-0002", F.lit("Question | new")).otherwise(F.col("text"))))
     delta = vectors.sync_delta(changed, first)
     assert [r.record_id for r in delta.collect()] == ["TCK-0002"]
     counts = vectors.sync_counts(changed, first, vectors.embed(delta, embedded_at="2024-01-02")).first()
