@@ -80,12 +80,15 @@ def ticket_aggregates(fact_ticket: DataFrame) -> DataFrame:
 
 def usage_aggregates(fact_usage: DataFrame) -> DataFrame:
     """C11: filtered sums over the two windows (NULL when no row falls inside)."""
-    w = usage_windows(fact_usage).select(F.struct("last_4_weeks_start", "previous_4_weeks_start")).scalar()
-    last_start, prev_start = w["last_4_weeks_start"], w["previous_4_weeks_start"]
+    # the scalar subquery is referenced once (bound to a column); every other
+    # use reads that column, so the window bounds are computed by one job
+    end = fact_usage.select(F.max("date")).scalar()
+    u = fact_usage.withColumn("_end", end)
+    last_start, prev_start = F.date_sub(F.col("_end"), 27), F.date_sub(F.col("_end"), 55)
     d = F.col("date")
     in_last = d >= last_start
     in_prev = (d >= prev_start) & (d < last_start)
-    return fact_usage.groupBy("customer_id").agg(
+    return u.groupBy("customer_id").agg(
         F.sum(F.when(in_last, F.col("sessions"))).alias("sessions_last_4_weeks"),
         F.sum(F.when(in_prev, F.col("sessions"))).alias("sessions_previous_4_weeks"),
         F.sum(F.when(in_last, F.col("active_users"))).alias("active_users_last_4_weeks"),
@@ -98,8 +101,9 @@ def usage_aggregates(fact_usage: DataFrame) -> DataFrame:
 def feedback_aggregates(fact_feedback: DataFrame) -> DataFrame:
     """Count, average rating, averages either side of the split point."""
     split = rating_split(fact_feedback).select("rating_split_point").scalar()
-    ts, r = F.col("created_at"), F.col("rating")
-    return fact_feedback.groupBy("customer_id").agg(
+    f = fact_feedback.withColumn("_split", split)  # one reference to the subquery
+    ts, r, split = F.col("created_at"), F.col("rating"), F.col("_split")
+    return f.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("feedback_count"),
         F.avg(r).alias("average_rating"),
         F.avg(F.when(ts >= split, r)).alias("rating_last_half"),
