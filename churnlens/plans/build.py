@@ -24,7 +24,7 @@ CLUSTER_BY_CUSTOMER = ("fact_ticket", "fact_feedback", "fact_usage", "fact_subsc
 STAGES = (
     ("clean_customers", "audit_customers", "clean_tickets", "audit_tickets"),
     ("dimension_customer", "fact_ticket", "fact_feedback", "fact_usage", "fact_subscription_event"),
-    ("aggregate_theme", "customer_features", "vector_store"),
+    ("aggregate_theme", "customer_features", "vector_store", "questions"),
     ("segment_metrics",),
 )
 

@@ -35,7 +35,7 @@ WAREHOUSE_SOURCE_CONF = "churnlens.warehouse.source"
 WAREHOUSE_TABLES = ("clean_customers", "audit_customers", "clean_tickets", "audit_tickets", "dimension_customer",
                     "fact_ticket",
                     "fact_feedback", "fact_usage", "fact_subscription_event", "aggregate_theme",
-                    "customer_features", "segment_metrics", "vector_store")
+                    "customer_features", "segment_metrics", "vector_store", "questions")
 
 
 def warehouse_for(spark: SparkSession, sf_dir: str) -> str | None:
@@ -69,6 +69,13 @@ class Model:
             return cache[name]
         return object.__getattribute__(self, name)
 
+    @cached_property
+    def questions(self) -> DataFrame:
+        """User turns of the conversation log, classified, routed and tagged
+        with the requested metric (H1-H8) — shared by H, F2, G11 and J."""
+        from churnlens.operators.intents import tag_questions
+        return tag_questions(self.t.conversations)
+
     @cached_property
     def vector_store(self) -> DataFrame:
         """Latest-per-record chunk vectors (built by the warehouse job)."""
