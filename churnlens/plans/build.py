@@ -9,6 +9,8 @@ and row groups, and the per-customer aggregates read clustered data.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import SparkSession
 
 from churnlens.session import scratch_path
@@ -34,11 +36,19 @@ def build_warehouse(spark: SparkSession, sf_dir: str, path: str | None = None, r
     done: tuple[str, ...] = ()
     for stage in STAGES:
         m = Model(spark, sf_dir, warehouse=path, tables=done)
-        for name in stage:
+
+        plans = {}
+        for name in stage:  # plans are built here, on one thread
             df = getattr(m, name)
             if name in CLUSTER_BY_CUSTOMER:
                 df = df.repartitionByRange("customer_id").sortWithinPartitions("customer_id")
-            files.overwrite_table(df, f"{path}/{name}")
+            plans[name] = df
+        # the tables of one stage are independent: submit their jobs together
+        # so small jobs share the executors instead of queueing one by one
+        with ThreadPoolExecutor(max_workers=len(stage)) as pool:
+            futures = [pool.submit(files.overwrite_table, df, f"{path}/{name}") for name, df in plans.items()]
+            for f in futures:
+                f.result()
         done = done + stage
     assert set(done) == set(WAREHOUSE_TABLES)
     if register:
