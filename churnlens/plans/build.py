@@ -24,7 +24,7 @@ CLUSTER_BY_CUSTOMER = ("fact_ticket", "fact_feedback", "fact_usage", "fact_subsc
 # build order: each stage reads the tables the previous stages wrote, so no
 # table is derived twice and every stage's lineage starts at parquet files
 STAGES = (
-    ("clean_customers", "audit_customers", "clean_tickets", "audit_tickets"),
+    ("clean_customers", "audit_customers", "clean_tickets", "audit_tickets", "audit_feedback"),
     ("dimension_customer", "fact_ticket", "fact_feedback", "fact_usage", "fact_subscription_event"),
     ("aggregate_theme", "customer_features", "vector_store", "questions"),
     ("segment_metrics",),

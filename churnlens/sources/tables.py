@@ -49,7 +49,8 @@ class Tables:
 WAREHOUSE_CONF = "churnlens.warehouse"
 WAREHOUSE_SOURCE_CONF = "churnlens.warehouse.source"
 # tables the build job materialises (plans/build.py); read back as parquet
-WAREHOUSE_TABLES = ("clean_customers", "audit_customers", "clean_tickets", "audit_tickets", "dimension_customer",
+WAREHOUSE_TABLES = ("clean_customers", "audit_customers", "clean_tickets", "audit_tickets", "audit_feedback",
+                    "dimension_customer",
                     "fact_ticket",
                     "fact_feedback", "fact_usage", "fact_subscription_event", "aggregate_theme",
                     "customer_features", "segment_metrics", "vector_store", "questions")
@@ -137,6 +138,11 @@ class Model:
         from churnlens.operators.cleanse import staging_audit_customers
         return staging_audit_customers(self.raw_customers)
 
+    @cached_property
+    def audit_feedback(self) -> DataFrame:
+        from churnlens.operators.cleanse import staging_audit_feedback
+        return staging_audit_feedback(self.raw_feedback)
+
     @cached_property
     def clean_tickets(self) -> DataFrame:
         from churnlens.operators.cleanse import clean_tickets
