@@ -28,9 +28,12 @@ def memory_log(conversations: DataFrame) -> DataFrame:
 
 
 def upsert_latest(log: DataFrame) -> DataFrame:
-    """One row per key, the latest write wins (ties: larger value)."""
-    return log.groupBy("key").agg(F.max_by(F.struct("value", "updated_at"), F.struct("updated_at", "value"))
-                                  .alias("r")).select("key", "r.value", "r.updated_at")
+    """One row per key, the latest write wins (ties: larger value).
+    ``row_number() = 1`` per key: a WindowGroupLimit keeps one row per key per
+    map task before the shuffle, so a hot key does not pile up in one task."""
+    w = Window.partitionBy("key").orderBy(F.desc("updated_at"), F.desc("value"))
+    return (log.select("key", "value", "updated_at").withColumn("_rn", F.row_number().over(w))
+            .filter(F.col("_rn") == 1).drop("_rn"))
 
 
 def read(memory: DataFrame, keys: DataFrame) -> DataFrame:

@@ -32,3 +32,31 @@ def test_flagship_plan_shape(spark):
         .queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
     assert "PushedFilters" in plan
+
+
+def _plan(spark, name):
+    df = E.queries()[name](spark, "/root/testdata/sf0.001")
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dedup_is_partial_top1(spark):
+    plan = _plan(spark, "clean_dedup_tickets_keep_first")
+    assert "WindowGroupLimit" in plan and "Partial" in plan  # map-side top-1 before the shuffle
+    assert "SortAggregate" not in plan
+
+
+def test_window_bounds_computed_once(spark):
+    plan = _plan(spark, "usage_aggregates")
+    assert plan.count("Subquery subquery") <= 2  # one subquery, possibly shown at partial and final
+
+
+def test_segment_metrics_single_pass(spark):
+    plan = _plan(spark, "segment_metrics")
+    assert "Expand" in plan  # grouping sets ((segment), (plan), ())
+    assert "Subquery subquery" not in plan  # global row attached without re-scanning
+
+
+def test_per_customer_top_n_is_bounded(spark):
+    plan = _plan(spark, "customer_tickets")
+    assert "WindowGroupLimit" in plan
