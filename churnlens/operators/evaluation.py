@@ -251,7 +251,8 @@ def tool_calls(q: DataFrame) -> DataFrame:
     args = F.map_filter(F.map_from_arrays(
         F.array(F.lit("customer_id"), F.lit("segment"), F.lit("plan")),
         F.array(F.get("customer_ids", 0), F.col("segment"), F.col("plan"))), lambda k, v: v.isNotNull())
-    return calls.select("conv_id", "turn", "call_order", "tool", args.alias("args"))
+    return calls.select("conv_id", "turn", F.col("call_order").cast("bigint").alias("call_order"), "tool",
+                        args.alias("args"))
 
 
 def tool_result_summary(calls: DataFrame, sample: int = 5) -> DataFrame:

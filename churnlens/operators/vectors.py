@@ -232,7 +232,7 @@ def rerank(candidates: DataFrame, query: str, k: int = 20, scorer=None) -> DataF
     c = candidates.withColumn("rerank_score", score)
     # at most k (<= a few dozen) rows: ordering them needs no partitioning
     w = Window.orderBy(F.desc_nulls_last("rerank_score"), F.desc_nulls_last("score"), "record_type", "record_id")
-    return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+    return c.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= top_n)
 
 
 def source_refs(results: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def nearest_to_queries(vectors: DataFrame, queries: DataFrame, qkey: str, k: int
                                          dense_cosine(F.col(vec), q["qv"]).alias("score"))))
         .alias("s")).select("s.query_key", id_col, "s.score")
     w = Window.partitionBy("query_key").orderBy(F.desc_nulls_last("score"), F.asc(id_col))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def vector_store_view(embeddings: DataFrame) -> DataFrame:
