@@ -22,8 +22,12 @@ SPREAD_TABLES = ("documents", "conversations", "lineitem", "orders", "events")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df._jdf.rdd().getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        scan_partitions = df._jdf.rdd().getNumPartitions()  # planning only, no job
+    except Exception:  # noqa: BLE001 - no partition info (e.g. remote session): leave the scan as is
+        return df
+    return df.repartition(target) if scan_partitions < target else df
 
 
 class Tables:
