@@ -201,9 +201,14 @@ def query_vector(spark, text: str, dim: int = DEFAULT_DIM) -> Column:
 
 
 def retrieve(store: DataFrame, query: str, k: int = 20, filters: dict | None = None,
-             dim: int = DEFAULT_DIM) -> DataFrame:
+             dim: int = DEFAULT_DIM, one_row_per_record: bool = False) -> DataFrame:
     """D8 over the chunk store: cosine (= dot of unit vectors), top k by score;
-    ties by record type and id. Fewer than k rows when filters cut the set."""
+    ties by record type and id. Fewer than k rows when filters cut the set.
+
+    An append-only store may hold several versions of a record, so the newest
+    is picked first (a shuffle of the narrow scored rows). A store that holds
+    one row per record (the materialised latest view) skips that step: the
+    plan is then scan -> score -> bounded top-k, with no shuffle at all."""
     q = query_vector(store.sparkSession, query, dim)
     # bind the scalar subquery to a column first: higher-order functions may
     # only reference attributes, and the subquery is still evaluated once
@@ -213,7 +218,8 @@ def retrieve(store: DataFrame, query: str, k: int = 20, filters: dict | None = N
     # newest version per record after scoring: the vectors are dropped before
     # the shuffle (filters are on per-record attributes, so filtering first
     # gives the same records as filtering the latest versions)
-    s = latest_only(s)
+    if not one_row_per_record:
+        s = latest_only(s)
     return s.orderBy(F.desc_nulls_last("score"), "record_type", "record_id").limit(k).drop(
         "embedded_at", "source_hash")
 
