@@ -125,13 +125,14 @@ def golden(q: DataFrame) -> DataFrame:
         (F.col("f.intent") == "irrelevant").alias("irrelevant"), F.lit(False).alias("no_data"))
 
 
-def eval_frame(conversations: DataFrame, q: DataFrame | None = None) -> DataFrame:
+def eval_frame(conversations: DataFrame, q: DataFrame | None = None, ans: DataFrame | None = None) -> DataFrame:
     """Join golden, trace and answer per question (answer may be missing);
-    ``q`` is the classified question log when it is already materialised."""
+    ``q`` / ``ans`` are the question log and answers when already materialised."""
     from churnlens.operators.guards import parse_answer
     q = questions(conversations) if q is None else q
+    ans = answers(conversations) if ans is None else ans
     t = traces(q)
-    a = answers(conversations).select("conv_id", "turn", parse_answer(F.col("answer_json")).alias("answer"))
+    a = ans.select("conv_id", "turn", parse_answer(F.col("answer_json")).alias("answer"))
     return golden(q).join(t, ["conv_id", "turn"]).join(a, ["conv_id", "turn"], "left")
 
 

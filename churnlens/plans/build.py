@@ -26,7 +26,7 @@ CLUSTER_BY_CUSTOMER = ("fact_ticket", "fact_feedback", "fact_usage", "fact_subsc
 STAGES = (
     ("clean_customers", "audit_customers", "clean_tickets", "audit_tickets", "audit_feedback"),
     ("dimension_customer", "fact_ticket", "fact_feedback", "fact_usage", "fact_subscription_event"),
-    ("aggregate_theme", "customer_features", "vector_store", "questions"),
+    ("aggregate_theme", "customer_features", "vector_store", "questions", "answers"),
     ("segment_metrics",),
 )
 

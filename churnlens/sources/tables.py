@@ -57,7 +57,7 @@ WAREHOUSE_TABLES = ("clean_customers", "audit_customers", "clean_tickets", "audi
                     "dimension_customer",
                     "fact_ticket",
                     "fact_feedback", "fact_usage", "fact_subscription_event", "aggregate_theme",
-                    "customer_features", "segment_metrics", "vector_store", "questions")
+                    "customer_features", "segment_metrics", "vector_store", "questions", "answers")
 
 
 def warehouse_for(spark: SparkSession, sf_dir: str) -> str | None:
@@ -98,6 +98,12 @@ class Model:
         from churnlens.operators.intents import tag_questions
         return tag_questions(self.t.conversations)
 
+    @cached_property
+    def answers(self) -> DataFrame:
+        """Assistant/system turns shaped as structured answers (JSON text)."""
+        from churnlens.operators.evaluation import answers
+        return answers(self.t.conversations)
+
     @cached_property
     def vector_store(self) -> DataFrame:
         """Latest-per-record chunk vectors (built by the warehouse job)."""
