@@ -69,7 +69,7 @@ WIDER = [
     Kind("email_like", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[a-z0-9-]{1,63}+"
                        r"(?:\x20?[\[(]dot[\])]\x20?[a-z0-9-]{1,63}+){1,8}+"),
     Kind("card_like", CHAIN, keep=lambda m, g: ~luhn(m)),
-    Kind("phone_like", r"(?<![0-9+.\x20()-])\x20?\(?[0-9]{3,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
+    Kind("phone_like", r"(?<![A-Za-z0-9+.()-])(?<![0-9]\x20)\(?[0-9]{3,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
     Kind("id_like", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     Kind("account_like", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?![A-Za-z0-9])"),
     Kind("name", rf"\b(?:{NAME_CUE}\x20)?(?:{'|'.join(GIVEN_NAMES)})\x20[A-Z][a-z]{{1,30}}+\b"),
