@@ -210,6 +210,6 @@ def op2_personal_data(spark, sf_dir: str) -> DataFrame:
     base = labelled([k.name for k in BASE])
     added = F.coalesce("added", F.array().cast("array<struct<start:int,no:int,end:int,kind:string>>"))
     counts = [F.size(f"_spans_{k.name}").cast("bigint").alias(f"n_{k.name}") for k in BASE]
-    return found.withColumns({"_base": base, "_all": F.array_sort(F.concat(base, added))}).select(
+    return found.withColumns({"_base": base, "_all": F.sort_array(F.concat(base, added))}).select(
         "doc_id", *counts, F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.col("_all")).alias("spans"),
         F.size(added).cast("bigint").alias("n_added"))

@@ -82,7 +82,7 @@ def labelled(kinds: list[str], to: str = "_spans_") -> Column:
     def of(n: int, kind: str) -> Column:
         return F.transform(F.col(f"{to}{kind}"), lambda s: F.struct(
             s["start"].alias("start"), F.lit(n).alias("no"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-    return F.array_sort(F.concat(*[of(n, kind) for n, kind in enumerate(kinds)]))
+    return F.sort_array(F.concat(*[of(n, kind) for n, kind in enumerate(kinds)]))
 
 
 def joined(spans: Column) -> Column:

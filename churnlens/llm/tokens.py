@@ -3,8 +3,10 @@
 In a byte-level vocabulary no token crosses a place where a single space
 stands between two non-space characters, because the splitting pattern starts a
 new pre-token at that space. A text is therefore cut at these places, and each
-chunk (a space and the word behind it) is encoded once and remembered. The ids
-equal those of encoding the text in one call (tests/llm/test_tokens.py).
+chunk (a space and the word behind it) is encoded once and remembered. A chunk
+of Latin letters and closing marks is two pre-tokens, which go to the library's BPE
+model straight; any other chunk goes through the whole tokenizer. The ids equal
+those of encoding the text in one call (tests/llm/test_token_outputs.py).
 """
 
 from __future__ import annotations
@@ -12,11 +14,16 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: white space on both sides of a space: such a run can hold tokens across the cut
+_LOOSE = re.compile(r"\s \s")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,./:;<=>?@\[\]|-]*)")
 
 
 def default_tokenizer() -> str:
@@ -24,16 +31,23 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible Latin-1 characters as they are, the others from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = (b for b in range(256) if b not in seen)
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class _Chunks(dict):
     """chunk -> its ids as little-endian unsigned 32-bit bytes; emptied when full."""
 
-    def __init__(self, encode, limit: int):
+    def __init__(self, encode, lead: str, limit: int):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.lead, self.limit = encode, lead, limit
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(chunk) <= 64:
+        ids = self.encode(self.lead + chunk)
+        if len(chunk) <= 48:
             if len(self) >= self.limit:
                 self.clear()
             self[chunk] = ids
@@ -41,7 +55,7 @@ class _Chunks(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, cache_entries: int = 200_000):
+    def __init__(self, path: str, cache_entries: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -53,18 +67,35 @@ class Encoder:
                      and split.get("use_regex", True) and not split.get("add_prefix_space", True))
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self.chunks = _Chunks(self._direct, cache_entries)
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model
+        self.first = _Chunks(self._chunk, "", 10_000)
+        self.rest = _Chunks(self._chunk, " ", cache_entries)
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _pre_token(self, part: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+
+    def _chunk(self, chunk: str) -> bytes:
+        plain = _PLAIN.fullmatch(chunk)
+        if plain is None:
+            return self._direct(chunk)
+        word, marks = plain.groups()
+        ids = array("I", self._pre_token(word) + (self._pre_token(marks) if marks else []))
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers; null counts as empty."""
         if not text:
             return b""
         if not self.cuts or any(t in text for t in self.added):
             return self._direct(text)
-        return b"".join(map(self.chunks.__getitem__, _CUT.split(text)))
+        chunks = _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
+        return self.first[chunks[0]] + b"".join(map(self.rest.__getitem__, chunks[1:]))
 
 
 @lru_cache(maxsize=2)
