@@ -196,28 +196,35 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """_row, doc_id, fp, root: rows with one root belong to one component."""
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(_row, doc_id, fp of every row; node, root of the fingerprints that link to others)."""
     known = common.stored(fingerprints(docs, width), "simhash-fingerprints")
-    found = components(links(known.select("fp").distinct(), radius))
-    return known.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "_row", "doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    return known, components(links(known.select("fp").distinct(), radius))
 
 
-def with_component_ids(grouped: DataFrame) -> DataFrame:
-    """Add component_id, the smallest doc_id under the root."""
-    least = grouped.groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(least, F.col("root") == F.col("_root")).drop("_root")
+def component_ids(known: DataFrame, found: DataFrame) -> DataFrame:
+    """fp, component_id: the smallest doc_id in the component of each fingerprint.
+
+    Copies are merged to their fingerprint first, and each table that meets a hot key is
+    written before the join, so that the join can split that key's rows.
+    """
+    own = known.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = own.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = common.stored(rooted, "simhash-rooted")
+    least = common.stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
+    return common.stored(rooted.join(least, "root").select("fp", "component_id"), "simhash-components")
 
 
 def first_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id stays."""
-    grouped = near_duplicates(docs, **options)
+    known, found = near_duplicates(docs, **options)
+    grouped = known.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     stays = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
     kept = docs.withColumn("_row", F.monotonically_increasing_id()).join(stays.select("_row"), "_row", "left_semi")
     return kept.select(*docs.columns)
 
 
 def op7_simhash_bk_tree(spark, sf_dir: str) -> DataFrame:
-    grouped = with_component_ids(near_duplicates(common.table(spark, sf_dir, "documents")))
-    return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    known, found = near_duplicates(common.table(spark, sf_dir, "documents"))
+    return known.join(component_ids(known, found), "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
