@@ -95,7 +95,7 @@ def answers(conversations: DataFrame) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in ANSWER_KINDS])
     hint = F.struct(F.element_at(kinds, (F.col("turn") % len(ANSWER_KINDS) + 1).cast("int")).alias("kind"),
                     F.struct(F.lit(None).cast("string").alias("kind")).alias("payload"))
-    ans = F.struct(F.substring(text, 1, 200).alias("summary"), conf.alias("confidence"), facts.alias("facts"),
+    ans = F.struct(text.alias("summary"), conf.alias("confidence"), facts.alias("facts"),
                    F.array().cast(SECTION_T).alias("interpretation"), rec.alias("recommendation"),
                    F.array().cast(SECTION_T).alias("other_sections"), hint.alias("render_hint"))
     return c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("answer_turn"),

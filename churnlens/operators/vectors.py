@@ -4,21 +4,26 @@ Embedding: the default vectorizer is a hashed bag of words computed with
 Column expressions (lower-case tokens, md5 bucket into ``dim`` slots, counts,
 L2-normalised) and stored sparse as ``map<int,double>``. It is deterministic,
 needs no model download and runs inside the executors; a learned model plugs
-in through :func:`embed_with_model`, an Arrow ``pandas_udf`` fed 64 texts per
-batch (the reference's batch size).
+in through :func:`embed_with_model`, an Arrow ``pandas_udf`` that hands the model
+at most 64 texts a call.
 
-Retrieval never joins the store with a query table: the query vector is a
-one-row scalar subquery (evaluated once, shipped to every task as a constant)
-and each stored vector is scored by a map lookup (sparse) or ``zip_with`` +
-``aggregate`` (dense). Top-k uses ``orderBy().limit(k)``; per-group top-k uses
+Retrieval of one query takes its vector as a one-row scalar subquery (evaluated
+once, shipped to every task as a constant), and each stored vector is scored by a map
+lookup (sparse) or ``zip_with`` + ``aggregate`` (dense); many queries go through
+:func:`nearest_to_queries` in blocks. Top-k uses ``orderBy().limit(k)``; per-group top-k uses
 ``row_number() <= k`` which Spark plans with a partial WindowGroupLimit before
-the shuffle. Candidate and query counts are bounded and checked.
+the shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 DEFAULT_DIM = 1024
 EMBED_BATCH = 64
@@ -73,66 +78,66 @@ def bucket(tok: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
 
 
-def hashed_embedding(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """Sparse L2-normalised term counts ``map<int,double>``; NULL when the text
-    has no token (the 'failed' case: nothing to embed)."""
-    b = F.transform(tokens(text), lambda t: bucket(t, dim))
-    keys = F.array_distinct(b)
-    counts = F.transform(keys, lambda k: F.size(F.filter(b, lambda x: x == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * c))
-    return F.when(F.size(keys) > 0,
-                  F.map_from_arrays(keys, F.transform(counts, lambda c: c / norm)))
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once: a column or repeated expression may be
+    inlined into lambdas and filters by the optimizer and then cost its price per element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def unit_counts(buckets: Column) -> Column:
+    """``map<int,double>`` of the counts, scaled to length 1; NULL without buckets. Sorted, equal
+    buckets stand together, and a run's length is the distance of two starts: linear after the sort."""
+    def starts(b: Column) -> Column:
+        return F.filter(F.transform(b, lambda x, i: F.when(~F.coalesce(F.get(b, i - 1) == x, F.lit(False)), i)),
+                        lambda i: i.isNotNull())
+
+    def scaled(b: Column, s: Column) -> Column:
+        counts = F.transform(s, lambda i, n: (F.coalesce(F.get(s, n + 1), F.size(b)) - i).cast("double"))
+        return _let(counts, lambda c: _let(
+            F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x)),
+            lambda norm: F.map_from_arrays(F.transform(s, lambda i: F.get(b, i)), F.transform(c, lambda x: x / norm))))
+    return _let(F.sort_array(buckets), lambda b: F.when(F.size(b) > 0, _let(starts(b), lambda s: scaled(b, s))))
 
 
 def embed(chunks: DataFrame, dim: int = DEFAULT_DIM, embedded_at: str | Column | None = None) -> DataFrame:
     """D7 default path: vector, model, dimension and time on the chunk row.
-    The vector and its source hash stay in the same row (see A5).
-
-    Buckets, distinct keys, counts and the norm are separate projections so
-    each is computed once per row (inlined into the lambdas they would be
-    recomputed per key)."""
+    The vector and its source hash stay in the same row (see A5)."""
     at = (F.lit(embedded_at).cast("timestamp_ntz") if isinstance(embedded_at, str)
           else (embedded_at if embedded_at is not None else F.current_timestamp().cast("timestamp_ntz")))
-    cols = chunks.columns
-    b = chunks.select("*", F.transform(tokens(F.col("text")), lambda t: bucket(t, dim)).alias("_b"))
-    k = b.select("*", F.array_distinct("_b").alias("_k"))
-    c = k.select("*", F.transform("_k", lambda key: F.size(F.filter("_b", lambda x: x == key)).cast("double"))
-                 .alias("_c"))
-    n = c.select("*", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda acc, x: acc + x * x)).alias("_n"))
-    vec = F.when(F.size("_k") > 0, F.map_from_arrays("_k", F.transform("_c", lambda x: x / F.col("_n"))))
+    vec = unit_counts(F.transform(tokens(F.col("text")), lambda t: bucket(t, dim)))
     # ``embedded_ok`` is the cheap equivalent of "vector is not NULL" (a text
     # with at least one token); filters use it so the optimizer never inlines
     # the vector expression into a pushed-down predicate
     ok = F.lower(F.col("text")).rlike("[a-z0-9]")
-    return n.select(*cols, vec.alias("embedding"), F.coalesce(ok, F.lit(False)).alias("embedded_ok"),
+    return chunks.select("*", vec.alias("embedding"), F.coalesce(ok, F.lit(False)).alias("embedded_ok"),
                     F.lit(MODEL_NAME).alias("model"), F.lit(dim).alias("dimension"), at.alias("embedded_at"))
 
 
 def embed_with_model(chunks: DataFrame, encode, dim: int, model: str) -> DataFrame:
-    """D7 plug point: ``encode(list[str]) -> list[list[float]]`` (any local
-    model) runs in an Arrow pandas_udf; Spark hands it 64 texts per batch.
-    A batch that raises yields NULL vectors (counted as failed), as the
-    reference skips a failed batch."""
-    import pandas as pd
-
-    spark = chunks.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(EMBED_BATCH))
-
-    @F.pandas_udf("array<float>")
-    def _encode(texts: pd.Series) -> pd.Series:
-        out = []
-        for i in range(0, len(texts), EMBED_BATCH):
-            batch = texts.iloc[i:i + EMBED_BATCH].tolist()
-            try:
-                out.extend(list(map(list, encode(batch))))
-            except Exception:  # noqa: BLE001 - failed batch -> NULL vectors, counted as failed
-                out.extend([None] * len(batch))
-        return pd.Series(out)
-
-    out = chunks.select("*", _encode(F.col("text")).alias("embedding"), F.lit(model).alias("model"),
-                        F.lit(dim).alias("dimension"),
-                        F.current_timestamp().cast("timestamp_ntz").alias("embedded_at"))
-    return out.withColumn("embedded_ok", F.col("embedding").isNotNull())
+    """D7 plug point: ``encode(list[str]) -> list[list[float]]`` (any local model)
+    gets at most 64 texts a call. A call that raises leaves NULL vectors, counted as
+    failed and retried by the next run; ``embed_error`` says why."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            vecs: list = []
+            errors: list = []
+            for i in range(0, len(texts), EMBED_BATCH):
+                part = texts.iloc[i:i + EMBED_BATCH].tolist()
+                try:
+                    got = [[float(x) for x in v] for v in encode(part)]
+                    if len(got) != len(part):
+                        raise ValueError(f"{len(got)} vectors for {len(part)} texts")
+                    vecs, errors = vecs + got, errors + [None] * len(part)
+                except Exception as e:  # noqa: BLE001 - whatever the model raises is reported in its rows
+                    vecs, errors = vecs + [None] * len(part), errors + [f"{type(e).__name__}: {e}"] * len(part)
+            yield pd.DataFrame({"embedding": vecs, "embed_error": errors})
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    encoded = F.pandas_udf(run, "embedding array<float>, embed_error string")
+    out = chunks.withColumn("_e", encoded(F.col("text")))
+    return out.select(*chunks.columns, F.col("_e.embedding").alias("embedding"), F.col("_e.embed_error").alias("embed_error"),
+                      F.lit(model).alias("model"), F.lit(dim).alias("dimension"),
+                      F.current_timestamp().cast("timestamp_ntz").alias("embedded_at"),
+                      F.col("_e.embedding").isNotNull().alias("embedded_ok"))
 
 
 # -- D5, D6: incremental sync ---------------------------------------------------------------
@@ -197,24 +202,33 @@ def apply_filters(store: DataFrame, filters: dict | None) -> DataFrame:
 
 def query_vector(spark, text: str, dim: int = DEFAULT_DIM) -> Column:
     """The query's embedding as a scalar subquery (computed once per query)."""
-    return spark.range(1).select(hashed_embedding(F.lit(text), dim).alias("q")).select("q").scalar()
+    one = spark.range(1).select(F.lit(text).alias("text"))
+    return embed(one, dim).select("embedding").scalar()
 
 
-def retrieve(store: DataFrame, query: str, k: int = 20, filters: dict | None = None,
+def retrieve(store: DataFrame, query: str | list[float], k: int = 20, filters: dict | None = None,
              dim: int = DEFAULT_DIM, one_row_per_record: bool = False) -> DataFrame:
-    """D8 over the chunk store: cosine (= dot of unit vectors), top k by score;
-    ties by record type and id. Fewer than k rows when filters cut the set.
+    """D8 over the chunk store: top k by cosine; ties by record type and id. Fewer
+    than k rows when filters cut the set.
+
+    A store of sparse unit vectors (maps) takes the query's text; a store of a model's
+    dense vectors (arrays) takes the query's vector from the same model.
 
     An append-only store may hold several versions of a record, so the newest
     is picked first (a shuffle of the narrow scored rows). A store that holds
     one row per record (the materialised latest view) skips that step: the
     plan is then scan -> score -> bounded top-k, with no shuffle at all."""
-    q = query_vector(store.sparkSession, query, dim)
+    dense = isinstance(store.schema["embedding"].dataType, ArrayType)
+    if dense == isinstance(query, str):
+        raise TypeError("a dense store takes a query vector, a sparse one a query text")
     # bind the scalar subquery to a column first: higher-order functions may
     # only reference attributes, and the subquery is still evaluated once
-    s = apply_filters(store, filters).withColumn("_q", q).select(
+    q = F.array(*[F.lit(float(x)) for x in query]) if dense else query_vector(store.sparkSession, query, dim)
+    score = (dense_cosine if dense else sparse_dot)(F.col("_q") if not dense else q, F.col("embedding"))
+    s = apply_filters(store, filters)
+    s = (s if dense else s.withColumn("_q", q)).select(
         "record_type", "record_id", "customer_id", "created_at", "text", "metadata", "embedded_at", "source_hash",
-        sparse_dot(F.col("_q"), F.col("embedding")).alias("score"))
+        score.alias("score"))
     # newest version per record after scoring: the vectors are dropped before
     # the shuffle (filters are on per-record attributes, so filtering first
     # gives the same records as filtering the latest versions)
@@ -247,7 +261,7 @@ def source_refs(results: DataFrame) -> DataFrame:
 
 
 # -- D8/D9 over dense vectors: nearest vectors to each label's centroid -----------------------
-MAX_QUERIES = 4096
+QUERY_BLOCK = 512
 
 
 def label_centroids(vectors: DataFrame, key: str = "label", vec: str = "embedding") -> DataFrame:
@@ -260,23 +274,57 @@ def label_centroids(vectors: DataFrame, key: str = "label", vec: str = "embeddin
         key, vector_to_array("_m").alias("centroid"))
 
 
+def _unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix of unit vectors (missing components 0), and which rows have a direction."""
+    width = max((len(v) for v in vectors if v is not None), default=0)
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        if v is not None:
+            out[i, :len(v)] = v
+    norm = np.sqrt((out ** 2).sum(axis=1))
+    has = np.array([v is not None for v in vectors], bool) & (norm > 0)
+    out[has] /= norm[has, None]
+    return out, has
+
+
+def _nearest(k: int):
+    def run(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in pairs:
+            for block, rows in batch.groupby("qblock", sort=False):
+                del block
+                queries = rows["queries"].iloc[0]
+                q, q_has = _unit_rows([x["qv"] for x in queries])
+                v, v_has = _unit_rows(rows["vec"].tolist())
+                width = max(q.shape[1], v.shape[1])
+                q, v = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, v))
+                scores = np.where(q_has[:, None] & v_has[None, :], q @ v.T, -np.inf)
+                ids = rows["id"].to_numpy()
+                for i, x in enumerate(queries):
+                    order = np.lexsort((ids, -scores[i]))[:k]
+                    yield pd.DataFrame({"query_key": [x["qk"]] * len(order), "id": ids[order],
+                                        "score": [None if np.isinf(s) else float(s) for s in scores[i, order]]})
+    return run
+
+
 def nearest_to_queries(vectors: DataFrame, queries: DataFrame, qkey: str, k: int, id_col: str,
                        vec: str = "embedding") -> DataFrame:
-    """Top-k vectors per query. The (bounded, checked) query set travels as
-    ONE scalar subquery holding an array of (key, vector); every stored vector
-    is scored against each query in-task, then top-k per query keeps k rows per
-    map task before the shuffle. No join, no pair table beyond N x Q scores."""
-    n_q = queries.count()
-    if n_q > MAX_QUERIES:
-        raise ValueError(f"{n_q} query vectors exceed the broadcast bound {MAX_QUERIES}; batch the queries")
-    qs = queries.select(F.collect_list(F.struct(F.col(qkey).alias("qk"), F.col("centroid").alias("qv")))
-                        .alias("qs")).select("qs").scalar()
-    scored = vectors.withColumn("_qs", qs).select(id_col, F.explode(F.transform(
-        F.col("_qs"), lambda q: F.struct(q["qk"].alias("query_key"),
-                                         dense_cosine(F.col(vec), q["qv"]).alias("score"))))
-        .alias("s")).select("s.query_key", id_col, "s.score")
-    w = Window.partitionBy("query_key").orderBy(F.desc_nulls_last("score"), F.asc(id_col))
-    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    """Top-k vectors per query by cosine (NULL, and last, for a zero or missing vector).
+
+    Queries travel in blocks of about QUERY_BLOCK, each a row of one table that is joined to
+    the vectors by block number; the planner broadcasts it while it is small. An Arrow batch
+    of vectors then meets a block in one matrix product and hands on its k best per query,
+    so at most k rows per query and batch leave the step, not the pairs."""
+    n = max(-(-queries.count() // QUERY_BLOCK), 1)
+    qtype, idtype = queries.schema[qkey].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
+    blocks = queries.withColumn("qblock", F.pmod(F.xxhash64(qkey), F.lit(n)).cast("int")).groupBy("qblock").agg(
+        F.collect_list(F.struct(F.col(qkey).alias("qk"), F.col("centroid").alias("qv"))).alias("queries"))
+    each = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"),
+                          F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qblock"))
+    near = each.join(blocks, "qblock").select("qblock", "id", "vec", "queries").mapInPandas(
+        _nearest(k), f"query_key {qtype}, id {idtype}, score double")
+    w = Window.partitionBy("query_key").orderBy(F.desc_nulls_last("score"), F.asc("id"))
+    return near.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k).select(
+        "query_key", F.col("id").alias(id_col), "score", "rank")
 
 
 def vector_store_view(embeddings: DataFrame) -> DataFrame:

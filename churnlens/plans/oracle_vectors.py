@@ -24,16 +24,27 @@ def embedding_expr(text: str, dim: int = DEFAULT_DIM) -> str:
             f"sqrt(list_sum(list_transform({counts}, lambda z: z.c * z.c)))))) END")
 
 
+def vectors_sql(dim: int = DEFAULT_DIM) -> str:
+    """Bucket weights of each hashed text, counted by grouping its tokens."""
+    return f"""
+tok AS (select source_hash, k, count(*)::double as c from (
+  select source_hash, cast(('0x' || substr(md5(t), 1, 8))::BIGINT % {dim} as integer) as k from (
+   select source_hash, unnest(string_split_regex(lower(text), '{TOKEN_SPLIT}')) as t
+   from (select distinct source_hash, text from hashed)) a where t <> '') b group by source_hash, k),
+wt AS (select source_hash, k, c / sqrt(sum(c * c) over (partition by source_hash)) as w from tok),
+vec AS (select source_hash, map_from_entries(list((k, w))) as embedding from wt group by source_hash),
+embedded AS (select hashed.*, vec.embedding from hashed left join vec using (source_hash))"""
+
+
 def store_sql() -> str:
     """Run 1 embeds chunks created before the midpoint; run 2 the delta by
     hash; run 3 force re-embeds the feedback chunks."""
-    e = embedding_expr("text")
-    return CHUNKS + f""",
+    return CHUNKS + "," + vectors_sql() + f""",
 cut AS (select min(created_at) + (max(created_at) - min(created_at)) / 2 as cutoff from hashed),
-run1 AS (select *, {e} as embedding, timestamp '2024-03-01 00:00:00' as embedded_at from hashed where created_at < (select cutoff from cut)),
-run2 AS (select *, {e} as embedding, timestamp '2024-03-02 00:00:00' as embedded_at from hashed
+run1 AS (select *, timestamp '2024-03-01 00:00:00' as embedded_at from embedded where created_at < (select cutoff from cut)),
+run2 AS (select *, timestamp '2024-03-02 00:00:00' as embedded_at from embedded
   where source_hash not in (select source_hash from run1 where embedding is not null)),
-run3 AS (select *, {e} as embedding, timestamp '2024-03-03 00:00:00' as embedded_at from hashed where record_type = 'feedback'),
+run3 AS (select *, timestamp '2024-03-03 00:00:00' as embedded_at from embedded where record_type = 'feedback'),
 store AS (select *, '{MODEL_NAME}' as model, {DEFAULT_DIM} as dimension from (
   select * from run1 union all select * from run2 union all select * from run3) where embedding is not null)"""
 

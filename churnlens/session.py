@@ -34,7 +34,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     }
     if SparkSession.getActiveSession() is None and not os.environ.get("PYSPARK_SUBMIT_ARGS"):
         # local runs only: a launcher-provided session keeps its own sizing
-        conf.setdefault("spark.driver.memory", os.environ.get("CHURNLENS_DRIVER_MEMORY", "16g"))
+        conf.setdefault("spark.driver.memory", os.environ.get("CHURNLENS_DRIVER_MEMORY", "8g"))
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in conf.items():
@@ -48,11 +48,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Only when the session has none (a local test run) do we create a private
-    scratch folder; on a cluster ``spark.checkpoint.dir`` names shared storage.
+    Only a local master may go without one (a test run): it gets a private
+    scratch folder. On a cluster a machine's own folder would lose data, so a
+    session without ``spark.checkpoint.dir`` is refused there.
     """
     current = spark.conf.get(CHECKPOINT_KEY, None)
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all machines of {master} share")
         current = tempfile.mkdtemp(prefix="churnlens-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, current)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -3,7 +3,7 @@
 Every write goes below a base folder the caller passes; on a cluster that is
 the shared folder named by ``spark.checkpoint.dir`` (see session.scratch_path),
 never a machine-local temp folder. Writes are whole-job commits: a lost
-executor retries its tasks and the output only becomes visible on success.
+executor retries its tasks.
 """
 
 from __future__ import annotations
@@ -11,43 +11,67 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Explicit schemas of the five raw CSV inputs: inference is a full extra scan
 # at scale and is not stable across files.
 RAW_CSV_SCHEMAS = {
     "customers": ("customer_id string, customer_name string, customer_segment string, country string, "
                   "subscription_plan string, monthly_revenue double, account_created_at string, "
-                  "account_status string, _input_row_number bigint"),
+                  "account_status string"),
     "support_tickets": ("ticket_id string, customer_id string, created_at timestamp_ntz, subject string, "
                         "message string, category string, priority string, resolution_time_hours double, "
-                        "status string, satisfaction_score double, _input_row_number bigint"),
+                        "status string, satisfaction_score double"),
     "product_usage": ("customer_id string, date date, active_users bigint, sessions bigint, feature_usage string, "
                       "errors bigint, average_session_duration double"),
     "customer_feedback": ("feedback_id string, customer_id string, created_at timestamp_ntz, feedback_text string, "
                           "feedback_source string, rating bigint"),
     "subscription_events": ("customer_id string, event_date date, event_type string, previous_plan string, "
-                            "new_plan string, revenue_change double, _input_row_number bigint"),
+                            "new_plan string, revenue_change double"),
 }
+# inputs with free text, which may hold line breaks inside quotes
+TEXTUAL = ("support_tickets", "customer_feedback")
+# inputs whose cleansing depends on the order of their rows
+ORDERED = ("customers", "support_tickets", "subscription_events")
 
 
 def read_raw_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A1: headered CSV with an explicit schema (no inference)."""
-    return (spark.read.schema(RAW_CSV_SCHEMAS[name]).option("header", True)
+    """A1, A2: headered CSV with an explicit schema (no inference). Inputs whose row
+    order matters get ``_input_row_number``, a struct that orders as the rows stand: file,
+    start of the split in it, and a number that rises within the split."""
+    rows = (spark.read.schema(RAW_CSV_SCHEMAS[name]).option("header", True).option("multiLine", name in TEXTUAL).option("escape", '"')
             .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("mode", "FAILFAST").csv(path))
+    if name not in ORDERED:
+        return rows
+    return rows.select("*", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row")).alias("_input_row_number"))
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """A4: idempotent rebuild; with partition columns only the partitions
-    present in ``df`` are replaced (dynamic partition overwrite)."""
-    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    """A4: idempotent rebuild that replaces the whole table. The new files are written
+    beside the old table and take its place only once the write has succeeded, so a failed
+    rebuild leaves the old table, and partitions that the new data lack are gone."""
+    new = unique_path(path.rstrip("/") + "-next", "v")
+    w = df.write.partitionBy(*partition_by) if partition_by else df.write
+    w.parquet(new)
+    fs, target = _file_system(df.sparkSession, path)
+    _, fresh = _file_system(df.sparkSession, new)
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(fresh, target):
+        raise OSError(f"{new} could not take the place of {path}")
     return path
 
 

@@ -118,7 +118,8 @@ FEEDBACK_PREFIXES = [
 def raw_feedback(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "text", "source")
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
-    df = d.join(o, F.col("o_orderkey") == F.col("doc_id"))
+    # a document without an order is feedback of an unknown customer and date
+    df = d.join(o, F.col("o_orderkey") == F.col("doc_id"), "left")
     k = F.col("doc_id")
     prefix = _case(k % 9, [(i, p) for i, p in enumerate(FEEDBACK_PREFIXES[:-1])], FEEDBACK_PREFIXES[-1])
     return df.select(
@@ -126,7 +127,7 @@ def raw_feedback(t: Tables) -> DataFrame:
         _padded_id("CUST-", F.col("o_custkey")).alias("customer_id"),
         F.col("o_orderdate").alias("created_at"),
         F.when(k % 10 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(prefix, F.lit(" "), F.coalesce(F.substring("text", 1, 40), F.lit(""))))
+        .otherwise(F.concat(prefix, F.lit(" "), F.coalesce(F.col("text"), F.lit(""))))
         .alias("feedback_text"),
         F.col("source").alias("feedback_source"),
         F.when(k % 9 == 0, F.lit(None).cast("bigint")).otherwise(k % 11).alias("rating"),

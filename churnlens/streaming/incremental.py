@@ -7,9 +7,9 @@ these steps as batch jobs only).
 * :func:`start_memory_log` — memory writes stream into an append-only log;
   :func:`memory_view` is the latest value per key (I1).
 
-Both sinks are idempotent per micro-batch (the batch id is stored with the
-rows and a replayed batch is skipped), so a restarted query after an executor
-or driver failure does not duplicate rows. Paths must be on shared storage
+Both sinks are idempotent per micro-batch: each batch of each query has a folder of
+its own, which a replay writes again, so a restarted query neither loses nor
+duplicates rows. Paths must be on shared storage
 (below ``spark.checkpoint.dir`` on a cluster).
 """
 
@@ -34,10 +34,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def _already_written(spark: SparkSession, path: str, batch_id: int) -> bool:
-    if not _exists(spark, path):
-        return False
-    return spark.read.parquet(path).filter(F.col("batch_id") == batch_id).limit(1).count() > 0
+def _own_folder(batch: DataFrame, root: str, batch_id: int) -> tuple[str, str]:
+    """(query id, folder of this micro-batch). Batch numbers start anew with each query, so
+    the id of the query, which its checkpoint keeps, is part of the key."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return query, f"{root.rstrip('/')}/query_id={query}/batch_id={batch_id}"
 
 
 def start_embedding_sync(spark: SparkSession, chunk_dir: str, store_dir: str, checkpoint_dir: str,
@@ -45,12 +46,14 @@ def start_embedding_sync(spark: SparkSession, chunk_dir: str, store_dir: str, ch
     chunks = spark.readStream.schema(CHUNK_SCHEMA).parquet(chunk_dir)
 
     def sync(batch: DataFrame, batch_id: int) -> None:
-        if _already_written(spark, store_dir, batch_id):
-            return  # replay of a committed batch
-        store = spark.read.parquet(store_dir) if _exists(spark, store_dir) else None
-        delta = vectors.sync_delta(vectors.with_hash(batch), store)
-        rows = vectors.store_rows(vectors.embed(delta, dim=dim)).withColumn("batch_id", F.lit(batch_id))
-        rows.write.mode("append").parquet(store_dir)
+        query, folder = _own_folder(batch, store_dir, batch_id)
+        store = None
+        if _exists(spark, store_dir):
+            # a replay writes its folder again, so what it wrote before doesn't count as stored
+            store = spark.read.parquet(store_dir).where(
+                ~((F.col("query_id") == query) & (F.col("batch_id") == batch_id)))
+        delta = vectors.sync_delta(vectors.with_hash(batch).dropDuplicates(["source_hash"]), store)
+        vectors.store_rows(vectors.embed(delta, dim=dim)).write.mode("overwrite").parquet(folder)
 
     w = chunks.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -62,9 +65,7 @@ def start_memory_log(spark: SparkSession, writes_dir: str, log_dir: str, checkpo
     writes = spark.readStream.schema(MEMORY_SCHEMA).parquet(writes_dir)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        if _already_written(spark, log_dir, batch_id):
-            return
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(log_dir)
+        batch.write.mode("overwrite").parquet(_own_folder(batch, log_dir, batch_id)[1])
 
     w = writes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
