@@ -38,24 +38,31 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Chunks(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit bytes; emptied when full."""
+class _Cache(dict):
+    """text -> its ids as little-endian unsigned 32-bit bytes, for ``lead`` + text.
+
+    When ``limit`` texts are held, they become the old generation and the one before them
+    is let go; what is asked for again returns to the new one. So frequent texts stay."""
 
     def __init__(self, encode, lead: str, limit: int):
         super().__init__()
         self.encode, self.lead, self.limit = encode, lead, limit
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(self.lead + chunk)
-        if len(chunk) <= 48:
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.encode(self.lead + text)
+        if len(text) <= 48:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
-            self[chunk] = ids
+            self[text] = ids
         return ids
 
 
 class Encoder:
-    def __init__(self, path: str, cache_entries: int = 600_000):
+    def __init__(self, path: str, cache_entries: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,24 +76,31 @@ class Encoder:
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.letters = _byte_letters()
         self.model = self.tokenizer.model
-        self.first = _Chunks(self._chunk, "", 10_000)
-        self.rest = _Chunks(self._chunk, " ", cache_entries)
+        self.marks = _Cache(self._pre_token, "", 10_000)
+        self.first = _Cache(self._chunk, "", 10_000)
+        self.rest = _Cache(self._chunk, " ", cache_entries)
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _pre_token(self, part: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+    def _pre_token(self, part: str) -> bytes:
+        if part.isascii():  # a space is the only ASCII character of these that is written as another
+            letters = part.replace(" ", self.letters[32])
+        else:
+            letters = part.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(letters)])
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         plain = _PLAIN.fullmatch(chunk)
         if plain is None:
             return self._direct(chunk)
         word, marks = plain.groups()
-        ids = array("I", self._pre_token(word) + (self._pre_token(marks) if marks else []))
-        if sys.byteorder != "little":
-            ids.byteswap()
-        return ids.tobytes()
+        if not marks:
+            return self._pre_token(word)
+        return (self.rest[word[1:]] if word[0] == " " else self._pre_token(word)) + self.marks[marks]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers; null counts as empty."""
