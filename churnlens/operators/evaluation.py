@@ -40,7 +40,7 @@ def questions(conversations: DataFrame) -> DataFrame:
     return intents.route_intent(intents.classify(intents.question_log(conversations)))
 
 
-def traces(q: DataFrame) -> DataFrame:
+def traces(q: DataFrame, further: list[Column] | None = None) -> DataFrame:
     """One trace per question: spans array with typed metadata."""
     ents = F.struct(F.col("customer_ids"), F.col("ticket_ids"), F.col("feedback_ids"),
                     F.col("segment"), F.col("plan"))
@@ -74,7 +74,7 @@ def traces(q: DataFrame) -> DataFrame:
              tout=F.lit(0).cast("bigint")),
     )
     return q.select("conv_id", "turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-                    .alias("trace_id"), F.col("text").alias("question"), spans.alias("spans"))
+                    .alias("trace_id"), F.col("text").alias("question"), spans.alias("spans"), *(further or []))
 
 
 def answers(conversations: DataFrame) -> DataFrame:
@@ -102,18 +102,14 @@ def answers(conversations: DataFrame) -> DataFrame:
                     F.to_json(ans).alias("answer_json"))
 
 
-def golden(q: DataFrame) -> DataFrame:
-    """Expected values per question: route like the conversation's first question."""
-    first = q.groupBy("conv_id").agg(
-        F.min_by(F.struct("intent", "routed_node", "segment"), F.col("turn")).alias("f"))
-    g = q.select("conv_id", "turn").join(first, "conv_id")
+def golden_columns() -> list[Column]:
+    """Expected values per question: route like the conversation's first question, held in ``f``."""
     tools = None
     for node, ts in L.NODE_TOOLS:
         arr = F.array(*[F.lit(t) for t in ts[:2]])
         cond = F.col("f.routed_node") == node
         tools = F.when(cond, arr) if tools is None else tools.when(cond, arr)
-    return g.select(
-        "conv_id", "turn",
+    return [
         F.col("f.intent").alias("expected_intent"), F.col("f.routed_node").alias("expected_route"),
         F.when(F.col("f.segment").isNotNull(), F.create_map(F.lit("segment"), F.col("f.segment")))
         .otherwise(F.create_map().cast("map<string,string>")).alias("expected_entities"),
@@ -122,18 +118,20 @@ def golden(q: DataFrame) -> DataFrame:
             F.array().cast("array<string>")).alias("expected_retrieval"),
         F.lit("markdown").alias("expected_render"),
         F.lit(False).alias("expects_recommendations"), F.lit(False).alias("expects_prioritization"),
-        (F.col("f.intent") == "irrelevant").alias("irrelevant"), F.lit(False).alias("no_data"))
+        (F.col("f.intent") == "irrelevant").alias("irrelevant"), F.lit(False).alias("no_data")]
 
 
 def eval_frame(conversations: DataFrame, q: DataFrame | None = None, ans: DataFrame | None = None) -> DataFrame:
-    """Join golden, trace and answer per question (answer may be missing);
+    """Golden values, trace and answer per question (answer may be missing). The first question of
+    a conversation comes by a window over it, so the questions are read once; only answers are joined.
     ``q`` / ``ans`` are the question log and answers when already materialised."""
     from churnlens.operators.guards import parse_answer
     q = questions(conversations) if q is None else q
     ans = answers(conversations) if ans is None else ans
-    t = traces(q)
+    opening = F.first(F.struct("intent", "routed_node", "segment")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    t = traces(q.withColumn("f", opening), golden_columns())
     a = ans.select("conv_id", "turn", parse_answer(F.col("answer_json")).alias("answer"))
-    return golden(q).join(t, ["conv_id", "turn"]).join(a, ["conv_id", "turn"], "left")
+    return t.join(a, ["conv_id", "turn"], "left")
 
 
 def _span(name: str) -> Column:

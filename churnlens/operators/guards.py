@@ -113,21 +113,25 @@ def moderation(verdict: Column, enabled: bool = True, model: str = "labels.toxic
 
 
 def input_eval(df: DataFrame, text: str = "text", keys: list[str] | None = None,
-               verdict: Column | None = None) -> DataFrame:
+               verdicts: DataFrame | None = None) -> DataFrame:
     """All input checks per text in long form; a non-string stops after G1.
-    ``any_block`` is computed on the row's own array before the explode."""
-    t = F.col(text)
+    ``any_block`` is computed on the row's own array before the explode.
+
+    ``verdicts`` (the keys and ``unsafe``) join the results of the other checks: the
+    checks run on the scan, and no text crosses a shuffle."""
     keys = keys or []
-    base = df.select(*keys, t.alias("_t"), *([verdict.alias("_v")] if verdict is not None else []))
-    m = with_injection_matches(base, "_t")
+    m = with_injection_matches(df.select(*keys, F.col(text).alias("_t")), "_t")
     tt = F.col("_t")
     checks = [input_schema(tt), length_cap(tt), injection_result(F.col("_inj_high"), F.col("_inj_sus"))]
-    if verdict is not None:
-        checks.append(moderation(F.col("_v")))
-    any_block = (tt.isNull() | (F.length(tt) > L.MAX_INPUT_CHARS) | (F.size("_inj_high") > 0)
-                 | (F.coalesce(F.col("_v"), F.lit(False)) if verdict is not None else F.lit(False)))
-    arr = F.when(tt.isNull(), F.array(checks[0])).otherwise(F.array(*checks))
-    return (m.select(*keys, any_block.alias("any_block"), F.posexplode(arr).alias("check_order", "r"))
+    block = tt.isNull() | (F.length(tt) > L.MAX_INPUT_CHARS) | (F.size("_inj_high") > 0)
+    own = F.when(tt.isNull(), F.array(checks[0])).otherwise(F.array(*checks))
+    m = m.select(*keys, tt.isNull().alias("_null"), block.alias("any_block"), own.alias("_checks"))
+    if verdicts is not None:
+        m = m.join(verdicts.select(*keys, F.col("unsafe").alias("_v")), keys, "left")
+        m = m.withColumns({"any_block": F.col("any_block") | F.coalesce(F.col("_v"), F.lit(False)),
+                           "_checks": F.when(F.col("_null"), F.col("_checks")).otherwise(
+                               F.concat("_checks", F.array(moderation(F.col("_v")))))})
+    return (m.select(*keys, "any_block", F.posexplode("_checks").alias("check_order", "r"))
               .select(*keys, "check_order", "r.*", "any_block"))
 
 

@@ -2,23 +2,27 @@
 star schema -> features, segment benchmarks, themes and the vector store,
 each written once as parquet. Serving queries then read these tables.
 
-Fact tables are range-partitioned and sorted by ``customer_id`` before the
-write, so parquet min/max statistics let per-customer drill-downs skip files
-and row groups, and the per-customer aggregates read clustered data.
+Customer tables are range-partitioned and sorted by ``customer_id`` and time, so
+parquet min/max statistics let per-customer drill-downs skip files and row groups, and one
+customer's rows can fill several files. Range partitioning samples its input, so a table is
+derived once into a staging folder and clustered from the written files.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from churnlens.session import scratch_path
 from churnlens.sources import files
-from churnlens.sources.tables import WAREHOUSE_CONF, WAREHOUSE_SOURCE_CONF, WAREHOUSE_TABLES, Model
+from churnlens.sources.tables import WAREHOUSE_CONF, WAREHOUSE_SOURCE_CONF, WAREHOUSE_TABLES, Model, source_mark
 
-CLUSTER_BY_CUSTOMER = ("fact_ticket", "fact_feedback", "fact_usage", "fact_subscription_event",
-                       "customer_features", "dimension_customer", "aggregate_theme")
+CLUSTER = {"fact_ticket": ("customer_id", "created_at", "ticket_id"),
+           "fact_feedback": ("customer_id", "created_at", "feedback_id"),
+           "fact_usage": ("customer_id", "date"), "fact_subscription_event": ("customer_id", "event_date"),
+           "customer_features": ("customer_id",), "dimension_customer": ("customer_id",),
+           "aggregate_theme": ("customer_id", "feedback_id")}
 
 
 # build order: each stage reads the tables the previous stages wrote, so no
@@ -31,27 +35,37 @@ STAGES = (
 )
 
 
+def _write(df: DataFrame, path: str, name: str) -> None:
+    if name not in CLUSTER:
+        files.overwrite_table(df, f"{path}/{name}")
+        return
+    staged = f"{path}/_staged/{name}"
+    files.overwrite_table(df, staged)
+    keys = CLUSTER[name]
+    written = df.sparkSession.read.parquet(staged)
+    files.overwrite_table(written.repartitionByRange(*keys).sortWithinPartitions(*keys), f"{path}/{name}")
+    files.remove(df.sparkSession, staged)
+
+
 def build_warehouse(spark: SparkSession, sf_dir: str, path: str | None = None, register: bool = True) -> str:
     path = path or files.unique_path(scratch_path(spark, "warehouse"), "build")
     done: tuple[str, ...] = ()
+    source = source_mark(spark, sf_dir)
     for stage in STAGES:
         m = Model(spark, sf_dir, warehouse=path, tables=done)
 
         plans = {}
         for name in stage:  # plans are built here, on one thread
-            df = getattr(m, name)
-            if name in CLUSTER_BY_CUSTOMER:
-                df = df.repartitionByRange("customer_id").sortWithinPartitions("customer_id")
-            plans[name] = df
+            plans[name] = getattr(m, name)
         # the tables of one stage are independent: submit their jobs together
         # so small jobs share the executors instead of queueing one by one
         with ThreadPoolExecutor(max_workers=len(stage)) as pool:
-            futures = [pool.submit(files.overwrite_table, df, f"{path}/{name}") for name, df in plans.items()]
+            futures = [pool.submit(_write, df, path, name) for name, df in plans.items()]
             for f in futures:
                 f.result()
         done = done + stage
     assert set(done) == set(WAREHOUSE_TABLES)
     if register:
         spark.conf.set(WAREHOUSE_CONF, path)
-        spark.conf.set(WAREHOUSE_SOURCE_CONF, sf_dir)
+        spark.conf.set(WAREHOUSE_SOURCE_CONF, source)
     return path

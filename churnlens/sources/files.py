@@ -75,6 +75,11 @@ def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = N
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
+
+
 def append_rows(df: DataFrame, path: str) -> str:
     """A5: append one batch (vector + hash in the same rows) in one job commit."""
     df.write.mode("append").parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +40,23 @@ WAREHOUSE_TABLES = ("clean_customers", "audit_customers", "clean_tickets", "audi
                     "customer_features", "segment_metrics", "vector_store", "questions", "answers")
 
 
+def source_mark(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the source folder and of its files' names, sizes and times."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = sf_dir.rstrip("/")
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    found, seen = root.getFileSystem(conf).listFiles(root, True), []
+    while found.hasNext():
+        f = found.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return f"{folder} {hashlib.sha256(chr(10).join(sorted(seen)).encode()).hexdigest()}"
+
+
 def warehouse_for(spark: SparkSession, sf_dir: str) -> str | None:
-    """The registered warehouse path when it was built from ``sf_dir``."""
+    """The registered warehouse path, if it was built from ``sf_dir`` as it is now."""
     path = spark.conf.get(WAREHOUSE_CONF, None)
     src = spark.conf.get(WAREHOUSE_SOURCE_CONF, None)
-    return path if path and src and src.rstrip("/") == sf_dir.rstrip("/") else None
+    return path if path and src and src == source_mark(spark, sf_dir) else None
 
 
 class Model:

@@ -2,6 +2,7 @@
 as deriving every query from the raw tables."""
 
 from churnlens.plans.build import build_warehouse
+from churnlens.plans.present import present
 from churnlens.plans.registry import run
 from churnlens.sources.tables import WAREHOUSE_CONF, WAREHOUSE_SOURCE_CONF
 
@@ -15,11 +16,28 @@ def _rows(df):
 
 
 def test_warehouse_matches_raw(spark):
-    before = {n: _rows(run(n, spark, SF)) for n in NAMES}
+    before = {n: _rows(present(run(n, spark, SF))) for n in NAMES}
     build_warehouse(spark, SF)
     try:
-        after = {n: _rows(run(n, spark, SF)) for n in NAMES}
+        after = {n: _rows(present(run(n, spark, SF))) for n in NAMES}
     finally:
         spark.conf.unset(WAREHOUSE_CONF)
         spark.conf.unset(WAREHOUSE_SOURCE_CONF)
     assert before == after
+
+
+def test_a_changed_source_is_not_served_from_an_old_warehouse(spark, tmp_path):
+    import shutil
+
+    from churnlens.sources.tables import source_mark, warehouse_for
+    copy = str(tmp_path / "sf")
+    shutil.copytree(SF, copy)
+    spark.conf.set(WAREHOUSE_CONF, "/somewhere")
+    spark.conf.set(WAREHOUSE_SOURCE_CONF, source_mark(spark, copy))
+    try:
+        assert warehouse_for(spark, copy + "/") == "/somewhere" and warehouse_for(spark, SF) is None
+        spark.range(1).write.parquet(f"{copy}/more.parquet")
+        assert warehouse_for(spark, copy) is None
+    finally:
+        spark.conf.unset(WAREHOUSE_CONF)
+        spark.conf.unset(WAREHOUSE_SOURCE_CONF)

@@ -60,3 +60,30 @@ def test_segment_metrics_single_pass(spark):
 def test_per_customer_top_n_is_bounded(spark):
     plan = _plan(spark, "customer_tickets")
     assert "WindowGroupLimit" in plan
+
+
+def _below(node, found):
+    """Texts of the plan's nodes, exchanges with the columns they carry."""
+    found.append((node.nodeName(), node.output().mkString(",")))
+    kids = node.children()
+    for i in range(kids.size()):
+        _below(kids.apply(i), found)
+    return found
+
+
+def test_no_text_crosses_a_shuffle_in_the_input_checks(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = E.queries()["guard_input_eval"](spark, "/root/testdata/sf0.001")
+        nodes = _below(df._jdf.queryExecution().executedPlan(), [])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = [cols for name, cols in nodes if "Exchange" in name]
+    assert shuffled and not any("text" in c or "_t#" in c for c in shuffled)
+
+
+def test_evaluation_reads_questions_once(spark):
+    plan = E.queries()["eval_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Relation [conv_id") == 2
