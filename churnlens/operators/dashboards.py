@@ -70,13 +70,16 @@ def drill_usage(m, customer_id: str | None = None, limit: int = 60) -> DataFrame
     return insights.top_n_per_key(u, "customer_id", [F.asc("date")], limit)
 
 
-def admin_status(m, vector_meta: DataFrame | None = None, memory: DataFrame | None = None) -> DataFrame:
+def admin_status(m, vector_meta: DataFrame | None = None, memory: DataFrame | None = None,
+                 traces: DataFrame | None = None) -> DataFrame:
     """K6: row counts of the audit, vector meta, memory and trace stores."""
     parts = [insights_count("quality_report", _quality(m))]
     if vector_meta is not None:
         parts.append(insights_count("embedding_meta", vector_meta))
     if memory is not None:
         parts.append(insights_count("agent_memory", memory))
+    if traces is not None:
+        parts.append(insights_count("traces", traces))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -59,9 +59,10 @@ def traces(q: DataFrame, further: list[Column] | None = None) -> DataFrame:
             (tin if tin is not None else F.lit(None).cast("bigint")).alias("input_tokens"),
             (tout if tout is not None else F.lit(None).cast("bigint")).alias("output_tokens"))
         label = name if isinstance(name, Column) else F.lit(name)
+        start, end = started.cast("double"), started.cast("double") + latency.cast("double") / 1000
         return F.struct(label.alias("name"), F.lit(kind).alias("kind"), F.lit("ok").alias("status"),
-                        started.cast("double").alias("started_at"), latency.cast("double").alias("latency_ms"),
-                        meta.alias("metadata"))
+                        start.alias("started_at"), end.alias("ended_at"),
+                        F.round((end - start) * 1000, 2).alias("latency_ms"), meta.alias("metadata"))
 
     t0 = F.col("turn").cast("double")
     spans = F.array(
