@@ -248,7 +248,7 @@ def subscription_events(m, customer_id: str | None = None, limit: int = 10) -> D
         "_input_row_number",
         F.concat_ws(":", F.col("customer_id"), F.col("event_date").cast("string"), F.col("event_type"))
         .alias("source_ref"))
-    order = [F.desc("event_date"), F.desc("_input_row_number")]
+    order = [F.desc("event_date"), F.desc("_input_row_number"), F.asc("event_type"), F.desc("revenue_change")]
     if customer_id is not None:
         return s.filter(F.col("customer_id") == customer_id).orderBy(*order).limit(limit) \
             .drop("_input_row_number")
