@@ -314,9 +314,10 @@ def nearest_to_queries(vectors: DataFrame, queries: DataFrame, qkey: str, k: int
     the vectors by block number; the planner broadcasts it while it is small. An Arrow batch
     of vectors then meets a block in one matrix product and hands on its k best per query,
     so at most k rows per query and batch leave the step, not the pairs."""
-    n = max(-(-queries.count() // QUERY_BLOCK), 1)
+    # two blocks at least: with one, the key is a constant, and the planner makes the join a cross join
+    n = max(-(-queries.count() // QUERY_BLOCK), 2)
     qtype, idtype = queries.schema[qkey].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
-    blocks = queries.withColumn("qblock", F.pmod(F.xxhash64(qkey), F.lit(n)).cast("int")).groupBy("qblock").agg(
+    blocks = queries.withColumn("qblock", F.pmod(F.xxhash64(qkey, "centroid"), F.lit(n)).cast("int")).groupBy("qblock").agg(
         F.collect_list(F.struct(F.col(qkey).alias("qk"), F.col("centroid").alias("qv"))).alias("queries"))
     each = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"),
                           F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qblock"))
