@@ -44,7 +44,8 @@ HOSTS_HELD = 2000
 MAX_DEPTH = 100
 TEXT = "#"
 LEX = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I)
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -93,6 +94,8 @@ def parse(source: str | None) -> Node:
                 path[-1].children.append(text)
             elif path[-1].children and isinstance(path[-1].children[-1], str):
                 path[-1].children[-1] += " "
+            else:  # white space between two elements parts their texts
+                path[-1].children.append(" ")
             continue
         tag = m["tag"]
         if tag is None:
@@ -175,7 +178,7 @@ def collapse(units: list) -> list:
 def expression(node: Node) -> list:
     """The expression of one element's content."""
     units = [[[TEXT, zlib.crc32(" ".join(c.split()).encode()), False]] if isinstance(c, str)
-             else [[c.key, expression(c), False]] for c in node.children]
+             else [[c.key, expression(c), False]] for c in node.children if not isinstance(c, str) or c.strip()]
     return collapse(units)
 
 
@@ -287,8 +290,8 @@ class Wrapper:
                 if isinstance(child, str):
                     slot = known.get(TEXT)
                     template = not regional and self.n_pages >= 3 and slot is not None and slot[1] is not None
-                    if inside and not template:
-                        blocks[-1].append(child)
+                    if inside:
+                        blocks[-1].append(" " if template else child)
                     continue
                 if boilerplate(child.key):
                     continue

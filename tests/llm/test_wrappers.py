@@ -84,3 +84,12 @@ def test_template_texts_go_where_no_article_is_marked(monkeypatch, spark):
     rows = [(i, "http://plain.example/", f"<body><div>Site name</div><p>Story {i}</p></body>") for i in range(4)]
     table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     assert sorted(r.text for r in run(monkeypatch, table)) == [f"Story {i}" for i in range(4)]
+
+
+def test_space_between_inline_elements_and_closed_icons(monkeypatch, spark):
+    pages = {"http://a.example": "<p><b>foo</b> <i>bar</i></p>", "http://b.example": "<p><a>one</a>\n<a>two</a><a>three</a></p>",
+             "http://c.example": "<p>a <svg/> b</p><p>c</p>", "http://d.example": "<p>a<svg class='x/>' d=\"M0 0\" /> b</p><p>c</p>",
+             "http://e.example": "<p>a <svg><title>icon</title><path d='M1'/></svg> b</p><p>c</p>"}
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(pages.items())], "page_id bigint, url string, html string")
+    assert {r.url[7]: r.text for r in run(monkeypatch, table)} == {
+        "a": "foo bar", "b": "one twothree", "c": "a b\nc", "d": "a b\nc", "e": "a b\nc"}
