@@ -15,9 +15,11 @@ aligned in turn, one at a time, so a host with a third of all pages costs a row
 All pages take part in inference and in extraction. The wrappers table has one row per host;
 the planner joins it to the pages and broadcasts it only while it is small.
 
-The content is what the wrapper has inside <article> (or main, or role=main) less
-boilerplate elements. Without these, it is the body less boilerplate and less texts that
-are the same on every page of a host with three pages or more.
+The content is what the wrapper has inside <article> (or main, or role=main), or without
+these in the body, less boilerplate elements and outside regions less the template: texts that are
+the same on (nearly) all different pages of a host with three different pages or more, so
+none that is optional or stands below an optional element. Copies of a page count as one page,
+pages without text as none, and a page of template texts only keeps them.
 
 Rows: null or empty html gives an empty text; pages whose url is null or has no host
 form one host; repeated rows are each returned; an unclosed or truncated page is
@@ -42,6 +44,8 @@ from churnlens.llm import common
 
 HOSTS_HELD = 2000
 MAX_DEPTH = 100
+#: a constant text on this share of a host's different pages is template: with fewer than 20 pages, on all
+NEARLY_ALL = 0.95
 TEXT = "#"
 LEX = re.compile(
     r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
@@ -134,20 +138,20 @@ def parse(source: str | None) -> Node:
 
 
 # An item is [key, what, optional]: what is the content's units of an element, or for a text the checksum
-# of the one text seen, None for a slot. A unit is a list of items: one, or several or one with a leading "+".
+# of the one text seen, None for a slot. A text also has the number of different pages that hold it. A unit is a list of items: one, or several or one with a leading "+".
 
 def _items(unit: list) -> list:
     return unit[1:] if unit[0] == "+" else unit
 
 
-def _join_items(a: list, b: list) -> list:
+def _join_items(a: list, b: list, same_page: bool) -> list:
     optional = a[2] or b[2]
     if a[0] == TEXT:
-        return [TEXT, a[1] if a[1] == b[1] else None, optional]
-    return [a[0], align(a[1], b[1]), optional]
+        return [TEXT, a[1] if a[1] == b[1] else None, optional, max(a[3], b[3]) if same_page else a[3] + b[3]]
+    return [a[0], align(a[1], b[1], same_page), optional]
 
 
-def collapse(units: list) -> list:
+def collapse(units: list, same_page: bool) -> list:
     """Make repeated groups, so that every key stands once in the sequence."""
     first: dict[str, int] = {}
     spans: list[list[int]] = []
@@ -168,48 +172,52 @@ def collapse(units: list) -> list:
         merged: dict[str, list] = {}
         for unit in units[a:b + 1]:
             for item in _items(unit):
-                merged[item[0]] = _join_items(merged[item[0]], item) if item[0] in merged else item
+                merged[item[0]] = _join_items(merged[item[0]], item, same_page) if item[0] in merged else item
         single = len(merged) == 1
-        out.append(["+", *[[k, w, o if single else True] for k, w, o in merged.values()]])
+        out.append(["+", *[[k, w, o if single else True, *n] for k, w, o, *n in merged.values()]])
         done = b + 1
     return out + units[done:]
 
 
-def expression(node: Node) -> list:
-    """The expression of one element's content."""
-    units = [[[TEXT, zlib.crc32(" ".join(c.split()).encode()), False]] if isinstance(c, str)
-             else [[c.key, expression(c), False]] for c in node.children if not isinstance(c, str) or c.strip()]
-    return collapse(units)
+def expression(node: Node, share: float = 1.0) -> list:
+    """The expression of one element's content; of n copies of a page, each counts with a share of 1/n."""
+    units = [[[TEXT, zlib.crc32(" ".join(c.split()).encode()), False, share]] if isinstance(c, str)
+             else [[c.key, expression(c, share), False]] for c in node.children if not isinstance(c, str) or c.strip()]
+    return collapse(units, True)
 
 
-def align(a: list, b: list) -> list:
-    """An expression for all that ``a`` or ``b`` stands for."""
-    if a == b:
-        return a
+def align(a: list, b: list, same_page: bool = False) -> list:
+    """An expression for all that ``a`` or ``b`` stands for: places of one page, or different pages."""
     keys_a, keys_b = ([tuple(i[0] for i in _items(u)) for u in x] for x in (a, b))
     out: list = []
 
     def optional(units: list) -> list:
-        return [[u[0], *[[k, w, True] for k, w, _ in u[1:]]] if u[0] == "+" else [[k, w, True] for k, w, _ in u] for u in units]
+        return [[u[0], *[[k, w, True, *n] for k, w, _, *n in u[1:]]] if u[0] == "+"
+                else [[k, w, True, *n] for k, w, _, *n in u] for u in units]
     codes = ([("equal", 0, len(a), 0, len(b))] if keys_a == keys_b
              else SequenceMatcher(None, keys_a, keys_b, autojunk=False).get_opcodes())
     for op, i, j, k, m in codes:
         if op == "equal":
             for x, y in zip(a[i:j], b[k:m], strict=True):
-                joined = [_join_items(p, q) for p, q in zip(_items(x), _items(y), strict=True)]
+                joined = [_join_items(p, q, same_page) for p, q in zip(_items(x), _items(y), strict=True)]
                 out.append(["+", *joined] if "+" in (x[0], y[0]) else joined)
         else:
             out += optional(a[i:j]) + optional(b[k:m])
-    return out if keys_a == keys_b else collapse(out)
+    return out if keys_a == keys_b else collapse(out, same_page)
+
+
+def _has_text(node: Node) -> bool:
+    return any(c.strip() if isinstance(c, str) else _has_text(c) for c in node.children)
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, tuple[list, int]] = {}
+    held: dict[str, tuple[list, float]] = {}
     for batch in batches:
-        for host, source in zip(batch.column("host"), batch.column("html"), strict=True):
-            own = expression(parse(source.as_py()))
+        for host, source, copies in zip(*(batch.column(c) for c in ("host", "html", "copies")), strict=True):
+            page, share = parse(source.as_py()), 1 / copies.as_py()
+            own, n = expression(page, share), share if _has_text(page) else 0.0
             known = held.get(host := host.as_py())
-            held[host] = (align(known[0], own), known[1] + 1) if known else (own, 1)
+            held[host] = (align(known[0], own), known[1] + n) if known else (own, n)
             if len(held) >= HOSTS_HELD:
                 yield _wrapper_rows(held)
                 held = {}
@@ -220,12 +228,12 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _wrapper_rows(held: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(held.keys(), pa.string()), pa.array([json.dumps(w) for w, _ in held.values()], pa.string()),
-         pa.array([n for _, n in held.values()], pa.int64())], names=["host", "wrapper", "n_pages"])
+         pa.array([n for _, n in held.values()], pa.float64())], names=["host", "wrapper", "n_pages"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     host = whole = None
-    n = 0
+    n = 0.0
     for batch in batches:  # rows of a host stand together
         for h, w, k in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "n_pages")), strict=True):
             if whole is not None and h != host:
@@ -237,7 +245,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _wrapper_rows({host: (whole, n)})
 
 
-WRAPPERS = "host string, wrapper string, n_pages bigint"
+WRAPPERS = "host string, wrapper string, n_pages double"
 
 
 def host_of(url: Column) -> Column:
@@ -245,8 +253,15 @@ def host_of(url: Column) -> Column:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), n_pages for every host of ``pages``."""
-    parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_infer, WRAPPERS)
+    """host, wrapper (JSON), n_pages (different pages with text) for every host of ``pages``.
+
+    Only the pages that have copies are written with their counts; the join leaves the pages
+    where they are while that table is small.
+    """
+    own = pages.select(host_of(F.col("url")).alias("host"), "html", F.md5(F.coalesce("html", F.lit(""))).alias("page"))
+    copies = common.stored(own.groupBy("host", "page").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "page-copies")
+    counted = own.join(copies, ["host", "page"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    parts = counted.mapInArrow(_infer, WRAPPERS)
     together = parts.repartition("host").sortWithinPartitions("host", "wrapper")
     return common.stored(together.mapInArrow(_merge, WRAPPERS), "page-wrappers")
 
@@ -269,7 +284,7 @@ def _has_region(node: Node) -> bool:
 class Wrapper:
     """A host's expression, ready to walk pages along it."""
 
-    def __init__(self, text: str, n_pages: int):
+    def __init__(self, text: str, n_pages: float):
         self.units, self.n_pages = json.loads(text), n_pages
         self.has_region = self._regions(self.units)
 
@@ -277,8 +292,17 @@ class Wrapper:
         return any(item[0] != TEXT and not boilerplate(item[0]) and (is_region(item[0]) or self._regions(item[1]))
                    for unit in units for item in _items(unit))
 
+    def _template(self, item: list | None) -> bool:
+        """Whether a text stands the same on nearly all of three different pages or more; n_pages is a sum of shares."""
+        return (self.n_pages > 2.5 and item is not None and item[1] is not None
+                and item[3] >= NEARLY_ALL * self.n_pages)
+
     def main_text(self, source: str | None) -> str:
-        root, blocks = parse(source), [[]]
+        root = parse(source)
+        return self._read(root, True) or self._read(root, False)
+
+    def _read(self, root: Node, drop_template: bool) -> str:
+        blocks: list[list[str]] = [[]]
         levels: dict[int, dict] = {}
         regional = self.has_region and _has_region(root)  # a page without a region is read like a host without one
 
@@ -288,9 +312,8 @@ class Wrapper:
                 known = levels[id(units)] = {item[0]: item for unit in units for item in _items(unit)}
             for child in node.children:
                 if isinstance(child, str):
-                    slot = known.get(TEXT)
-                    template = not regional and self.n_pages >= 3 and slot is not None and slot[1] is not None
                     if inside:
+                        template = drop_template and not regional and self._template(known.get(TEXT))
                         blocks[-1].append(" " if template else child)
                     continue
                 if boilerplate(child.key):
@@ -310,7 +333,7 @@ class Wrapper:
 
 
 @lru_cache(maxsize=512)
-def _wrapper(text: str, n_pages: int) -> Wrapper:
+def _wrapper(text: str, n_pages: float) -> Wrapper:
     return Wrapper(text, n_pages)
 
 

@@ -93,3 +93,22 @@ def test_space_between_inline_elements_and_closed_icons(monkeypatch, spark):
     table = spark.createDataFrame([(i, *p) for i, p in enumerate(pages.items())], "page_id bigint, url string, html string")
     assert {r.url[7]: r.text for r in run(monkeypatch, table)} == {
         "a": "foo bar", "b": "one twothree", "c": "a b\nc", "d": "a b\nc", "e": "a b\nc"}
+
+
+def test_only_texts_of_nearly_all_different_pages_are_template(monkeypatch, spark):
+    story = "<body><div>Site name</div><p>Story {0}</p>{1}</body>"
+    pages = [("http://once.example/", story.format(i, "<blockquote>Only here</blockquote>" if i == 2 else "")) for i in range(5)]
+    pages += [("http://copies.example/", story.format("same", ""))] * 4
+    pages += [("http://two.example/", story.format(i, "")) for i in (0, 1, 1, 1)]
+    pages += [("http://alike.example/", f"<!-- {i} -->" + story.format("alike", "")) for i in range(3)]
+    pages += [("http://blank.example/", story.format(i, "") if i else None) for i in range(4)]
+    pages += [("http://large.example/", story.format(i, "") if i else "<body><p>Cut") for i in range(40)]
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string").repartition(5)
+    got: dict = {}
+    for r in run(monkeypatch, table):
+        got.setdefault(r.url.split(".")[0][7:], []).append(r.text)
+    assert sorted(got["once"]) == ["Story 0", "Story 1", "Story 2\nOnly here", "Story 3", "Story 4"]
+    assert got["copies"] == ["Site name\nStory same"] * 4 and got["alike"] == ["Site name\nStory alike"] * 3
+    assert sorted(got["two"]) == ["Site name\nStory 0"] + ["Site name\nStory 1"] * 3
+    assert sorted(got["blank"]) == ["", "Story 1", "Story 2", "Story 3"]
+    assert sorted(got["large"]) == sorted(["Cut", *[f"Story {i}" for i in range(1, 40)]])
