@@ -15,11 +15,15 @@ aligned in turn, one at a time, so a host with a third of all pages costs a row
 All pages take part in inference and in extraction. The wrappers table has one row per host;
 the planner joins it to the pages and broadcasts it only while it is small.
 
-The content is what the wrapper has inside <article> (or main, or role=main), or without
-these in the body, less boilerplate elements and outside regions less the template: texts that are
-the same on (nearly) all different pages of a host with three different pages or more, so
-none that is optional or stands below an optional element. Copies of a page count as one page,
-pages without text as none, and a page of template texts only keeps them.
+The content is what stands inside <article> (or main, or role=main), or without these in
+the body, less the template and less boilerplate elements. The wrapper decides on both,
+inside regions as outside. Template are the texts that are the same on (nearly) all
+different pages of a host with three different pages or more, so none that is optional or
+stands below an optional element. Copies of a page count as one page, pages without text as
+none, and a page of template texts only keeps them. The lists of elements and of words in class, id
+or role only vote for boilerplate: an element that holds most of the host's text in slots
+is kept and read, whatever its name. A host with one or two pages has little
+or no evidence of its own, and there the lists decide.
 
 Rows: null or empty html gives an empty text; pages whose url is null or has no host
 form one host; repeated rows are each returned; an unclosed or truncated page is
@@ -46,6 +50,8 @@ HOSTS_HELD = 2000
 MAX_DEPTH = 100
 #: a constant text on this share of a host's different pages is template: with fewer than 20 pages, on all
 NEARLY_ALL = 0.95
+#: an element that holds this share of a host's characters in slots is main text, whatever the lists say
+MOST = 0.8
 TEXT = "#"
 LEX = re.compile(
     r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
@@ -57,7 +63,8 @@ MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 "
                    "h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-# Elements, and words in class, id or role, that hold no main text
+# Elements that never hold main text; elements, and words in class, id or role, that rarely do
+SILENT = frozenset("head script style select option button".split())
 BOILERPLATE = frozenset("head nav header footer aside form button select option label dialog menu script style".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert advertisement advertising banner promo promotion sponsor sponsored sidebar menu nav navbar navigation "
@@ -138,7 +145,7 @@ def parse(source: str | None) -> Node:
 
 
 # An item is [key, what, optional]: what is the content's units of an element, or for a text the checksum
-# of the one text seen, None for a slot. A text also has the number of different pages that hold it. A unit is a list of items: one, or several or one with a leading "+".
+# of the one text seen, None for a slot. A text also has the number of different pages that hold it, and its characters on these. A unit is a list of items: one, or several or one with a leading "+".
 
 def _items(unit: list) -> list:
     return unit[1:] if unit[0] == "+" else unit
@@ -147,7 +154,8 @@ def _items(unit: list) -> list:
 def _join_items(a: list, b: list, same_page: bool) -> list:
     optional = a[2] or b[2]
     if a[0] == TEXT:
-        return [TEXT, a[1] if a[1] == b[1] else None, optional, max(a[3], b[3]) if same_page else a[3] + b[3]]
+        return [TEXT, a[1] if a[1] == b[1] else None, optional, max(a[3], b[3]) if same_page else a[3] + b[3],
+                a[4] + b[4]]
     return [a[0], align(a[1], b[1], same_page), optional]
 
 
@@ -181,7 +189,7 @@ def collapse(units: list, same_page: bool) -> list:
 
 def expression(node: Node, share: float = 1.0) -> list:
     """The expression of one element's content; of n copies of a page, each counts with a share of 1/n."""
-    units = [[[TEXT, zlib.crc32(" ".join(c.split()).encode()), False, share]] if isinstance(c, str)
+    units = [[[TEXT, zlib.crc32(" ".join(c.split()).encode()), False, share, share * len(c)]] if isinstance(c, str)
              else [[c.key, expression(c, share), False]] for c in node.children if not isinstance(c, str) or c.strip()]
     return collapse(units, True)
 
@@ -276,21 +284,47 @@ def is_region(key: str) -> bool:
     return tag in ("article", "main") or "main" in words
 
 
-def _has_region(node: Node) -> bool:
-    return any(not isinstance(c, str) and not boilerplate(c.key) and (is_region(c.key) or _has_region(c))
-               for c in node.children)
-
-
 class Wrapper:
     """A host's expression, ready to walk pages along it."""
 
     def __init__(self, text: str, n_pages: float):
         self.units, self.n_pages = json.loads(text), n_pages
+        self.levels: dict[int, dict] = {}
+        self.varying: dict[int, float] = {}
+        self._index(self.units)
         self.has_region = self._regions(self.units)
 
+    def _index(self, units: list) -> float:
+        """Items by key of each level, and the characters in slots at and below it."""
+        known = self.levels[id(units)] = {item[0]: item for unit in units for item in _items(unit)}
+        total = 0.0
+        for key, item in known.items():
+            if key == TEXT:
+                total += item[4] if item[1] is None else 0.0
+            else:
+                below = self._index(item[1])
+                total += 0.0 if key.split(".")[0] in SILENT else below
+        self.varying[id(units)] = total
+        return total
+
+    def _left_out(self, key: str, item: list | None) -> bool:
+        """Whether an element is boilerplate: the lists say so, and the wrapper does not find most of the slots in it."""
+        if not boilerplate(key):
+            return False
+        most = self.varying[id(self.units)] * MOST
+        return key.split(".")[0] in SILENT or item is None or not 0 < most <= self.varying[id(item[1])]
+
     def _regions(self, units: list) -> bool:
-        return any(item[0] != TEXT and not boilerplate(item[0]) and (is_region(item[0]) or self._regions(item[1]))
-                   for unit in units for item in _items(unit))
+        return any(key != TEXT and not self._left_out(key, item) and (is_region(key) or self._regions(item[1]))
+                   for key, item in self.levels[id(units)].items())
+
+    def _has_region(self, node: Node, units: list) -> bool:
+        known = self.levels.get(id(units), {})
+        for c in node.children:
+            if not isinstance(c, str) and not self._left_out(c.key, item := known.get(c.key)) and (
+                    is_region(c.key) or self._has_region(c, item[1] if item else [])):
+                return True
+        return False
 
     def _template(self, item: list | None) -> bool:
         """Whether a text stands the same on nearly all of three different pages or more; n_pages is a sum of shares."""
@@ -303,27 +337,24 @@ class Wrapper:
 
     def _read(self, root: Node, drop_template: bool) -> str:
         blocks: list[list[str]] = [[]]
-        levels: dict[int, dict] = {}
-        regional = self.has_region and _has_region(root)  # a page without a region is read like a host without one
+        regional = self.has_region and self._has_region(root, self.units)  # a page without a region is read like a host without one
 
         def walk(node: Node, units: list, inside: bool) -> None:
-            known = levels.get(id(units))
-            if known is None:
-                known = levels[id(units)] = {item[0]: item for unit in units for item in _items(unit)}
+            known = self.levels.get(id(units), {})
             for child in node.children:
                 if isinstance(child, str):
                     if inside:
-                        template = drop_template and not regional and self._template(known.get(TEXT))
+                        template = drop_template and self._template(known.get(TEXT))
                         blocks[-1].append(" " if template else child)
                     continue
-                if boilerplate(child.key):
+                item = known.get(child.key)
+                if self._left_out(child.key, item):
                     continue
                 apart = child.tag in BLOCKS
                 if apart:
                     blocks.append([])
                 elif child.tag == "br":
                     blocks[-1].append(" ")
-                item = known.get(child.key)
                 walk(child, item[1] if item else [], inside or is_region(child.key))
                 if apart:
                     blocks.append([])

@@ -112,3 +112,22 @@ def test_only_texts_of_nearly_all_different_pages_are_template(monkeypatch, spar
     assert sorted(got["two"]) == ["Site name\nStory 0"] + ["Site name\nStory 1"] * 3
     assert sorted(got["blank"]) == ["", "Story 1", "Story 2", "Story 3"]
     assert sorted(got["large"]) == sorted(["Cut", *[f"Story {i}" for i in range(1, 40)]])
+
+
+def test_wrapper_decides_inside_regions(monkeypatch, spark):
+    pages = [("http://notes.example/", f"<article><h1>Title {i}</h1><p>Story {i}</p><div class=x1>Buy now</div><p>More {i}</p>"
+              f"<p>By <b>us</b></p>{'<p><i>Once</i></p>' if i == 1 else ''}</article>") for i in range(4)]
+    form = "<head><title>Page {0}</title></head><form><nav>Menu {0}</nav><div class=banner>Shop</div><p>{1}</p></form>"
+    pages += [("http://form.example/", form.format(i, f"Long story {i} " * 20)) for i in range(4)]
+    pages += [("http://side.example/", f"<main class=has-sidebar><p>{f'Text {i} ' * 20}</p><div class=sidebar>Other {i}</div></main>")
+              for i in range(4)]
+    pages += [("http://talk.example/", f"<article><p>Short {i}</p><div class=comments><article>{f'Opinion {i} ' * 2}</article></div></article>")
+              for i in range(4)]
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in run(monkeypatch, table)}
+    for i in range(4):
+        once = "\nOnce" if i == 1 else ""
+        assert got[i] == f"Title {i}\nStory {i}\nMore {i}\nBy{once}"  # "By" shares its place with the stories: a slot
+        assert got[4 + i] == (f"Long story {i} " * 20).strip()
+        assert got[8 + i] == (f"Text {i} " * 20).strip()
+        assert got[12 + i] == f"Short {i}"
