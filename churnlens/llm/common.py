@@ -35,6 +35,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a row number ``_row``, written once.
+
+    Numbers depend on how a scan packs files into partitions, which follows the cores at hand, so
+    steps that meet again on ``_row`` must all read this table and not number ``docs`` anew.
+    """
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -38,10 +38,11 @@ _PHI = (Decimal(5).sqrt() - 1) / 2
 STEP_LOW, STEP_HIGH = float(_PHI), float(_PHI * HIGH % 1)
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, source, size (words) and _key, the place in the shuffled order."""
+def sizes(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """_row (new numbers unless given), doc_id, source, size (words) and _key, the place in the shuffled order."""
+    row = F.monotonically_increasing_id() if row is None else row
     return docs.select(
-        F.monotonically_increasing_id().alias("_row"), "doc_id", "source",
+        row.alias("_row"), "doc_id", "source",
         F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_key"))
 
@@ -127,10 +128,10 @@ def blocks(sized: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_words: int = 64, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
-        most: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+        most: float = 2.0, row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sized documents, one row per source, mix). The mix has, for each slot and each
     document part in its block: slot, ord, _row, round, at (first word), words."""
-    sized = common.stored(sizes(docs), "mix-sizes")
+    sized = common.stored(sizes(docs, row), "mix-sizes")
     targets = common.stored(source_targets(sized, weights, share, most), "mix-sources")
     wanted = targets.agg(F.sum("target").alias("t")).first()["t"] or 0.0
     slots = schedule(targets, round(wanted / block_words))
@@ -153,10 +154,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     takes it; the one document of a source at which its last round ends keeps its
     first words only, as many as are taken."""
     columns = docs.columns
-    sized, _, drawn = mix(docs, **options)
+    numbered = common.numbered(docs, "mix-rows")
+    sized, _, drawn = mix(numbered, row=F.col("_row"), **options)
     rounds = drawn.groupBy("_row", "round").agg(F.sum("words").alias("_words"))
     rows = rounds.join(sized.select(F.col("_row"), F.col("size").alias("_size")), "_row").drop("round")
-    whole = docs.withColumn("_row", F.monotonically_increasing_id()).join(rows, "_row")
+    whole = numbered.join(rows, "_row")
     words = common.words_of(F.col("text"))
     cut = F.col("_words") < F.col("_size")
     text = F.when(cut, F.array_join(F.slice(words, 1, F.col("_words").cast("int")), " ")).otherwise(F.col("text"))

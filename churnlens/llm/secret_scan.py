@@ -56,9 +56,10 @@ def _value(s: Column, name: str) -> Column:
     return s
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
-    """_row, doc_id, repository, owner and the span arrays of all kinds; no text."""
-    df = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id"), F.col("text"),
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", row: Column | None = None) -> DataFrame:
+    """_row (new numbers unless given), doc_id, repository, owner and the span arrays of all kinds; no text."""
+    row = F.monotonically_increasing_id() if row is None else row
+    df = docs.select(row.alias("_row"), F.col("doc_id"), F.col("text"),
                      F.col(repository).cast("string").alias("_repository"), F.col(owner).cast("string").alias("_owner"))
     df = add_spans(df, "text", [*BASE, WIDER])
     return common.stored(df.drop("text"), "secret-spans")
@@ -88,9 +89,10 @@ def ownership(found: DataFrame, most_owners: int = 1, copied_from: int = 3) -> D
     return owners.join(repos, "hash").select("hash", "n_repositories", "n_owners", verdict.alias("verdict"))
 
 
-def find_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", **limits) -> DataFrame:
+def find_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source",
+                 row: Column | None = None, **limits) -> DataFrame:
     """One row per document: span arrays, n_live, n_copied, and ``added``: wider spans judged live."""
-    scanned = scan(docs, repository, owner)
+    scanned = scan(docs, repository, owner, row)
     found = candidates(scanned)
     judged = found.join(ownership(found, **limits), "hash")
     wider = F.when((F.col("kind") == WIDER.name) & (F.col("verdict") == "live"),
@@ -104,8 +106,9 @@ def find_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
 def redact(docs: DataFrame, **options) -> DataFrame:
     """The documents with base secrets and live wider ones replaced by MARK; columns as given."""
     columns = docs.columns
-    judged = find_secrets(docs, **options).where(F.size("added") > 0).select("_row", F.lit(True).alias("_wide"))
-    df = docs.withColumn("_row", F.monotonically_increasing_id()).join(judged, "_row", "left")
+    rows = common.numbered(docs, "secret-rows")
+    judged = find_secrets(rows, row=F.col("_row"), **options).where(F.size("added") > 0).select("_row", F.lit(True).alias("_wide"))
+    df = rows.join(judged, "_row", "left")
     df = df.withColumn("_new", F.col("text"))
     for kind in BASE:
         df = df.withColumn("_new", F.when(F.col("_new").rlike(kind.pattern), masked(F.col("_new"), kind, MARK))

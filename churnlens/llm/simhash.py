@@ -73,9 +73,10 @@ def _fingerprints(width: int):
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """_row, doc_id, fp (the 64 bits as a long)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def fingerprints(docs: DataFrame, width: int = 3, row: Column | None = None) -> DataFrame:
+    """_row (new numbers unless given), doc_id, fp (the 64 bits as a long)."""
+    row = F.monotonically_increasing_id() if row is None else row
+    rows = docs.select(row.alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(_fingerprints(width), "_row bigint, doc_id bigint, fp bigint")
 
 
@@ -196,9 +197,10 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2,
+                    row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(_row, doc_id, fp of every row; node, root of the fingerprints that link to others)."""
-    known = common.stored(fingerprints(docs, width), "simhash-fingerprints")
+    known = common.stored(fingerprints(docs, width, row), "simhash-fingerprints")
     return known, components(links(known.select("fp").distinct(), radius))
 
 
@@ -217,10 +219,11 @@ def component_ids(known: DataFrame, found: DataFrame) -> DataFrame:
 
 def first_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id stays."""
-    known, found = near_duplicates(docs, **options)
+    rows = common.numbered(docs, "simhash-rows")
+    known, found = near_duplicates(rows, row=F.col("_row"), **options)
     grouped = known.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     stays = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    kept = docs.withColumn("_row", F.monotonically_increasing_id()).join(stays.select("_row"), "_row", "left_semi")
+    kept = rows.join(stays.select("_row"), "_row", "left_semi")
     return kept.select(*docs.columns)
 
 

@@ -7,6 +7,7 @@ import re
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
@@ -93,3 +94,26 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.stored(stage(spark, docs, SF), "test-empty")
         assert docs.count() == 0
+
+
+@pytest.mark.parametrize("name", ["near_dedup", "secrets", "mix"])
+def test_rows_stay_themselves_when_scans_pack_files_anew(spark, monkeypatch, tmp_path, name):
+    path = str(tmp_path / "documents.parquet")
+    common.table(spark, SF, "documents").withColumn("text", F.concat("text", F.lit(" pwd = Live77kkTT"), "doc_id")).repartition(
+        24).write.parquet(path)
+    docs, stored, key = spark.read.parquet(path), common.stored, "spark.sql.files.maxPartitionBytes"
+    stage, given = dict(corpus_pipeline.STAGES)[name], spark.conf.get(key)
+
+    def rows(packed_anew):
+        def store(df, at):
+            out = stored(df, at)
+            if packed_anew:  # later scans of the documents put each file into a partition of its own
+                spark.conf.set(key, "16k")
+            return out
+        monkeypatch.setattr(common, "stored", store)
+        spark.conf.set(key, given)
+        return sorted(map(tuple, stage(spark, docs, SF).collect()))
+    try:
+        assert rows(True) == rows(False)
+    finally:
+        spark.conf.set(key, given)
