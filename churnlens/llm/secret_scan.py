@@ -2,8 +2,9 @@
 
 Every credential-like match is a candidate. Its hash is counted over the whole
 corpus: in how many repositories (by default documents) and by how many owners
-(by default sources) it stands. A value that many owners hold is a copied
-example; a value that one owner alone holds and that looks live (mixed
+(by default sources) it stands. A value that many owners hold, or that stands in
+many repositories, be they one owner's, is a copied
+example; another that one owner alone holds and that looks live (mixed
 characters, no placeholder word) is that owner's credential. The three base
 kinds are always reported; the wider kind adds a span only for a value judged live.
 
@@ -77,14 +78,14 @@ def candidates(scanned: DataFrame) -> DataFrame:
                        F.sha2("c.value", 256).alias("hash"), looks_live(F.col("c.value")).alias("live"))
 
 
-def ownership(found: DataFrame, most_owners: int = 1, copied_from: int = 3) -> DataFrame:
+def ownership(found: DataFrame, most_owners: int = 1, copied_from: int = 3, copied_in: int = 10) -> DataFrame:
     """hash, n_repositories, n_owners, verdict: live, copied, or unclear, from the whole corpus."""
     none = F.lit("\u0000")
     by_owner = found.groupBy("hash", F.coalesce("_owner", none).alias("o")).agg(F.max("live").alias("live"))
     owners = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.max("live").alias("live"))
     by_repo = found.groupBy("hash", F.coalesce("_repository", none).alias("r")).agg(F.count(F.lit(1)).alias("n"))
     repos = by_repo.groupBy("hash").agg(F.count(F.lit(1)).alias("n_repositories"))
-    verdict = (F.when(F.col("n_owners") >= copied_from, "copied")
+    verdict = (F.when((F.col("n_owners") >= copied_from) | (F.col("n_repositories") >= copied_in), "copied")
                .when((F.col("n_owners") <= most_owners) & F.col("live"), "live").otherwise("unclear"))
     return owners.join(repos, "hash").select("hash", "n_repositories", "n_owners", verdict.alias("verdict"))
 
@@ -103,17 +104,36 @@ def find_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     return scanned.join(per_row, "_row", "left")
 
 
+def _masked_at(text: Column, spans: Column) -> Column:
+    """The text with the spans (sorted, start and end) replaced by MARK; spans that overlap share one."""
+    def step(a: Column, s: Column) -> Column:
+        apart = F.size(a["out"]).eqNullSafe(0) | (s["start"] >= a["at"])
+        piece = F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(MARK))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"),
+                        F.when(apart, F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(spans, start, step, lambda a: F.concat(
+        F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text) - a["at"])))
+
+
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """The documents with base secrets and live wider ones replaced by MARK; columns as given."""
+    """The documents with base secrets and live wider ones replaced by MARK; columns as given.
+
+    Wider ones are masked where they stand, so copied ones in the same document stay; a base secret
+    that overlaps one goes with it.
+    """
     columns = docs.columns
     rows = common.numbered(docs, "secret-rows")
-    judged = find_secrets(rows, row=F.col("_row"), **options).where(F.size("added") > 0).select("_row", F.lit(True).alias("_wide"))
+    both = F.concat(labelled([k.name for k in BASE]), "added")
+    places = F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    judged = find_secrets(rows, row=F.col("_row"), **options).where(F.size("added") > 0).select(
+        "_row", F.sort_array(places).alias("_places"))
     df = rows.join(judged, "_row", "left")
-    df = df.withColumn("_new", F.col("text"))
+    df = df.withColumn("_new", F.when(F.col("_places").isNotNull(), _masked_at(F.col("text"), F.col("_places")))
+                       .otherwise(F.col("text")))
     for kind in BASE:
         df = df.withColumn("_new", F.when(F.col("_new").rlike(kind.pattern), masked(F.col("_new"), kind, MARK))
                            .otherwise(F.col("_new")))
-    df = df.withColumn("_new", F.when(F.col("_wide"), masked(F.col("_new"), WIDER, MARK)).otherwise(F.col("_new")))
     changed = {"text": F.col("_new")}
     if "n_chars" in columns:
         same = F.col("_new").eqNullSafe(F.col("text"))

@@ -108,3 +108,18 @@ def test_redaction_leaves_no_secret(docs, rows):
         if not any(brute.base_spans(before[r.doc_id], brute.SECRETS)[0]) and "pwd" not in (before[r.doc_id] or ""):
             assert r.text == before[r.doc_id]
     assert secret_scan.redact(docs.withColumn("_x", F.lit(1))).columns == [*docs.columns, "_x"]
+
+
+def test_many_repositories_of_one_owner_are_copies_and_stay(spark):
+    copied, own = "pwd = Zz91kLmnopQ8", "pwd = Live77kkTTx2"
+    rows = [(i, f"docs say {copied} here", "en", "s1", 0) for i in range(30)]
+    rows += [(50, f"\U0001f600 {copied}, my {own}; {copied} password = {own[6:]} token=ghp_{'aB3dE6gH9' * 4}+more end", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    judged = secret_scan.ownership(secret_scan.candidates(secret_scan.scan(docs))).collect()
+    assert ("copied", 31, 1) in [(r.verdict, r.n_repositories, r.n_owners) for r in judged]
+    found = {r.doc_id: (r.n_live or 0, r.n_copied or 0, len(r.added or [])) for r in secret_scan.find_secrets(docs).collect()}
+    assert found[0] == (0, 1, 0) and found[50][1:] == (2, 2)
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    mark = secret_scan.MARK
+    assert got[50] == f"\U0001f600 {copied}, my {mark}; {copied} {mark} {mark} end"
+    assert all(got[i] == rows[i][1] for i in range(30))
