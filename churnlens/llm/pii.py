@@ -65,13 +65,21 @@ GIVEN_NAMES = ["James", "John", "Robert", "Michael", "William", "David", "Richar
                "Anna", "Maria", "Laura", "Julia", "Peter", "Paul", "Hans", "Klaus", "Jean", "Pierre", "Marie",
                "Sophie", "Carlos", "Juan", "Jose", "Luis", "Carmen", "Ana"]
 NAME_CUE = r"(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?"
+_FOUR = r"(?:\x20?[A-Z0-9]{4})"
+# Account numbers of the gazetteer's countries by length; others in groups of four with a shorter last one,
+# which holds a digit where a space parts it, so that the next word of a text is not taken for it
+ACCOUNT = (rf"(?<![A-Za-z0-9])(?:(?:(?:AT|LU)[0-9]{{2}}{_FOUR}{{4}}|BE[0-9]{{2}}{_FOUR}{{3}}|(?:ES|SE)[0-9]{{2}}{_FOUR}{{5}}"
+           rf"|PL[0-9]{{2}}{_FOUR}{{6}}|CH[0-9]{{2}}{_FOUR}{{4}}\x20?[A-Z0-9]|PT[0-9]{{2}}{_FOUR}{{5}}\x20?[A-Z0-9]|(?:DE|GB|IE)[0-9]{{2}}{_FOUR}{{4}}\x20?[A-Z0-9]{{2}}"
+           rf"|NL[0-9]{{2}}{_FOUR}{{3}}\x20?[A-Z0-9]{{2}}|(?:FR|IT)[0-9]{{2}}{_FOUR}{{5}}\x20?[A-Z0-9]{{3}})(?![A-Za-z0-9])"
+           rf"|[A-Z]{{2}}[0-9]{{2}}(?:{_FOUR}{{2}}\x20?[0-9]{{3}}(?![A-Za-z0-9])"
+           rf"|{_FOUR}{{3,7}}+(?:[A-Z0-9]{{1,3}}|\x20(?=[A-Z]{{0,2}}[0-9])[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])))")
 WIDER = [
     Kind("email_like", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[a-z0-9-]{1,63}+"
                        r"(?:\x20?[\[(]dot[\])]\x20?[a-z0-9-]{1,63}+){1,8}+"),
     Kind("card_like", CHAIN, keep=lambda m, g: ~luhn(m)),
     Kind("phone_like", r"(?<![A-Za-z0-9+.()-])(?<![0-9]\x20)\(?[0-9]{3,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
     Kind("id_like", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    Kind("account_like", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?![A-Za-z0-9])"),
+    Kind("account_like", ACCOUNT),
     Kind("name", rf"\b(?:{NAME_CUE}\x20)?(?:{'|'.join(GIVEN_NAMES)})\x20[A-Z][a-z]{{1,30}}+\b"),
 ]
 KINDS = [*BASE, *WIDER]

@@ -123,3 +123,19 @@ def test_many_repositories_of_one_owner_are_copies_and_stay(spark):
     mark = secret_scan.MARK
     assert got[50] == f"\U0001f600 {copied}, my {mark}; {copied} {mark} {mark} end"
     assert all(got[i] == rows[i][1] for i in range(30))
+
+
+def test_account_numbers_of_every_listed_country_are_whole(spark):
+    numbers = ["AT611904300234573201", "BE68539007547034", "CH9300762011623852957", "DE89370400440532013000", "ES9121000418450200051332",
+               "FR1420041010050500013M02606", "GB29NWBK60161331926819", "IE29AIBK93115212345678", "IT60X0542811101000000123456",
+               "LU280019400644750000", "NL91ABNA0417164300", "PL61109010140000071219812874", "PT50000201231234567890154",
+               "SE4550000000058398257466", "NO9386011117947", "MT84MALT011000012345MTLCAST001S", "HU42117730161111101800000000"]
+    spaced = [" ".join(n[i:i + 4] for i in range(0, len(n), 4)) for n in numbers]
+    texts = [f"iban {n}{after}" for n in numbers + spaced for after in (".", "", " to me", " AND 12 MORE", ", 5")]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spans, each = pii.candidates(docs)
+    got = {r.doc_id: [s["value"] for s in r["_spans_account_like"]] for r in spans.collect()}
+    assert got == {i: [(numbers + spaced)[i // 5]] for i in range(len(texts))}
+    listed = {r.gazetteer for r in each.where("kind = 'account_like'").select("gazetteer").distinct().collect()}
+    assert listed == {1, -1}
