@@ -38,7 +38,7 @@ WIDER = Kind(
     r"(?<![A-Za-z0-9_])(?:gh[opsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}"
     r"|[rs]k_live_[A-Za-z0-9]{16,}+|glpat-[A-Za-z0-9_-]{20,}+"
     r"|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+"
-    r"|(?i:pwd|passphrase|private_?key|access_?key|auth_?key|credentials?)[\"']?\x20*+[:=]\x20*+[\"']?"
+    r"|[A-Za-z0-9_]*?(?i:pwd|passphrase|private_?key|access_?key|auth_?key|credentials?)[\"']?\x20*+[:=]\x20*+[\"']?"
     r"[A-Za-z0-9+/_.=-]{8,}+)")
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|your[_-]|xxxx|dummy|redacted|1234567|<|\*\*\*"
 MARK = "[SECRET]"
@@ -53,7 +53,7 @@ def looks_live(value: Column) -> Column:
 def _value(s: Column, name: str) -> Column:
     """What is hashed: the credential without the name it is assigned to."""
     if name in ("assign", "live"):
-        return F.regexp_replace(s, r"^[A-Za-z_]+[\"']?\x20*+[:=]\x20*+[\"']?", "")
+        return F.regexp_replace(s, r"^[A-Za-z0-9_]+[\"']?\x20*+[:=]\x20*+[\"']?", "")
     return s
 
 

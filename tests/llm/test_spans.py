@@ -139,3 +139,13 @@ def test_account_numbers_of_every_listed_country_are_whole(spark):
     assert got == {i: [(numbers + spaced)[i // 5]] for i in range(len(texts))}
     listed = {r.gazetteer for r in each.where("kind = 'account_like'").select("gazetteer").distinct().collect()}
     assert listed == {1, -1}
+
+
+def test_names_with_a_prefix_are_candidates(spark):
+    values = ["wJalrXUtnFEMI7K8MDENG", "q7Rt55aaXy21bb", "Zz91kLmnopQ8"]
+    text = f"AWS_SECRET_ACCESS_KEY={values[0]} db2_pwd: '{values[1]}' DB_PWD = {values[2]}"
+    docs = spark.createDataFrame([(1, text + " xghp_" + "a1B2" * 9, "en", "s", 0), (2, "_" * 20000, "en", "s", 0)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    r = next(r for r in secret_scan.find_secrets(docs).collect() if r.doc_id == 1)
+    found = sorted((s["start"], text[s["start"]:s["end"]]) for s in r.added)
+    assert [f for _, f in found] == [f"AWS_SECRET_ACCESS_KEY={values[0]}", f"db2_pwd: '{values[1]}", f"DB_PWD = {values[2]}"]
