@@ -18,9 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_name(start: str) -> str:
+    """``start`` with a new id behind it."""
+    return f"{start}{uuid.uuid4().hex[:12]}"
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder that the cluster names."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return shared_name(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +49,47 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return stored(docs.withColumn("_row", F.monotonically_increasing_id()), name)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it if ``docs`` has a column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is one row of a Parquet file: a scan under nothing but projections and filters."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    hidden = plan.metadataOutput()
+    return (plan.nodeName() == "LogicalRelation" and not hidden.isEmpty()
+            and "row_index" in hidden.head().dataType().simpleString())
+
+
+def row_keyed(docs: DataFrame, name: str, key: str) -> DataFrame:
+    """``docs`` with ``key``, a struct that names each row the same in every scan.
+
+    It is the row's file and its place in the file, however scans split and pack files, so steps that
+    meet again on it need no second copy of the documents. Documents that are not a plain scan are
+    written first, once.
+    """
+    if not _plain_scan(docs):
+        docs = stored(docs, name)
+    at = docs.metadataColumn("_metadata")
+    return docs.select("*", F.struct(at["file_path"].alias("file"), at["row_index"].alias("row")).alias(key))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
