@@ -6,7 +6,7 @@ document's length. All of it is integer arithmetic but the logarithm in the weig
 
 The index holds blocks of documents of similar size. A block has a bit for each of its documents in every
 slice; a term sets the bits of its documents in ``HASHES`` slices, and once more under another hash for
-each occurrence threshold (2, 4, 8, 16) that it reaches. The AND of a term's slices holds all
+each occurrence threshold of ``LEVELS`` that it reaches. The AND of a term's slices holds all
 documents with that many occurrences, and few others, so the largest occurrence number it allows gives an upper
 bound of the term's part for each document, whose exact length is stored. Sums of these bounds are upper bounds of
 scores.
@@ -44,19 +44,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: as bytes of UTF-8: separators become spaces, A-Z small letters, all of 0x80 and above stay
 _TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
-HASHES = 4
-#: occurrence thresholds with slices of their own
-LEVELS = (1, 2, 4, 8, 16)
-BITS_PER_ENTRY = 10
+HASHES = 7
+#: occurrence thresholds that set bits of their own
+LEVELS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48)
+BITS_PER_ENTRY = 16
 MOST_SLICES = 1 << 22
-BLOCK_ROWS, BLOCK_CELLS = 4096, 1 << 25
+BLOCK_ROWS, BLOCK_CELLS = 4096, 1 << 24
 #: entries (8 bytes each) that a task holds before it writes blocks
-HELD = 1 << 23
+HELD = 1 << 22
 INDEX = ("slices int, doc_id array<bigint>, file array<string>, row array<bigint>, digest array<binary>, "
          "n array<bigint>, signature binary")
 PAIRS = "item int, doc_id bigint, file string, row bigint, digest binary, bound double"
 #: candidate documents up to which they are sent to all executors; beyond, they meet the texts by a shuffle
-SENT = 500_000
+SENT = 200_000
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -74,13 +74,13 @@ def term_hash(term: bytes) -> int:
 
 
 def slice_numbers(hashes: np.ndarray, level: int, slices: int) -> np.ndarray:
-    """(HASHES, len(hashes)) slice numbers for one occurrence threshold; ``slices`` is a power of two."""
+    """(HASHES, len(hashes)) slice numbers for one occurrence threshold."""
     with np.errstate(over="ignore"):
         h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * level % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         step = (h >> np.uint64(40)) | np.uint64(1)
         at = h[None, :] + np.arange(HASHES, dtype=np.uint64)[:, None] * step[None, :]
-    return (at & np.uint64(slices - 1)).astype(np.int64)
+    return (at % np.uint64(slices)).astype(np.int64)
 
 
 class _Hashes(dict):
@@ -123,7 +123,7 @@ class _Blocks:
         order = np.argsort(entries, kind="stable")[::-1]
         at = 0
         while at < len(order):
-            slices = min(MOST_SLICES, 1 << (BITS_PER_ENTRY * int(entries[order[at]]) - 1).bit_length())
+            slices = min(MOST_SLICES, BITS_PER_ENTRY * int(entries[order[at]]))
             rows = max(8, min(BLOCK_ROWS, BLOCK_CELLS // slices))
             yield self._block(order[at:at + rows].tolist(), slices)
             at += rows
@@ -232,12 +232,14 @@ def _bounds(q: Queries, signature: bytes, slices: int, n: list[int]) -> Iterator
         some = packed[:, at:at + width]
         cols = min(len(n) - 8 * at, 8 * width)
         level = np.zeros((len(q.terms), cols), np.uint8)
+        lower = np.uint8(255)
         for no in numbers:
-            bits = some[no[0]]
+            bits = some[no[0]] & lower  # a threshold counts only where all lower ones are reached
             for other in no[1:]:
                 bits &= some[other]
             if not bits.any():
                 break
+            lower = bits
             level += np.unpackbits(bits, axis=1, count=cols, bitorder="little")
         value = part[level, np.arange(8 * at, 8 * at + cols)[None, :]]
         bound = np.empty((len(q.items), cols), np.float32)
@@ -286,8 +288,9 @@ def _rescored(q: Queries):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, key, items, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "items", "text")), strict=True):
-                out += [(i, doc_id, key, s) for i, s in zip(items, q.scores(text, items), strict=True) if s > 0]
+            for doc_id, key, own, text in zip(*(batch.column(c) for c in ("doc_id", "key", "items", "text")), strict=True):
+                items = own.as_py()
+                out += [(i, doc_id.as_py(), key.as_py(), s) for i, s in zip(items, q.scores(text.as_py(), items), strict=True) if s > 0]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             types = (pa.int32(), pa.int64(), batch.schema.field("key").type, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
