@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return shared_name(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-")
 
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that :func:`stored` writes inside, at the end; what is kept must be complete by then."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -36,19 +55,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     that it broadcasts the table only while it is below the session's threshold.
     """
     path = shared_folder(df.sparkSession, name)
+    if (written := _written.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a row number ``_row``, written once.
-
-    Numbers depend on how a scan packs files into partitions, which follows the cores at hand, so
-    steps that meet again on ``_row`` must all read this table and not number ``docs`` anew.
-    """
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), name)
-
-
 def free_name(docs: DataFrame, name: str) -> str:
     """``name``, with underscores behind it if ``docs`` has a column of that name."""
     taken = {c.lower() for c in docs.columns}
@@ -80,6 +92,21 @@ def row_keyed(docs: DataFrame, name: str, key: str) -> DataFrame:
     return docs.select("*", F.struct(at["file_path"].alias("file"), at["row_index"].alias("row")).alias(key))
 
 
+def nested(docs: DataFrame, name: str) -> DataFrame:
+    """``doc``, a struct of all columns of ``docs``, and ``key`` of :func:`row_keyed`.
+
+    Whatever the columns are called, none meets the names that an operator adds beside them.
+    """
+    key = free_name(docs, "key")
+    rows = row_keyed(docs, name, key)
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("key"))
+
+
+def unnested(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` from ``doc``, some of them replaced."""
+    return rows.select(*[changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

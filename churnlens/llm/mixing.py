@@ -4,8 +4,9 @@ Slot k of the schedule is the point frac(k * golden ratio) on the unit
 interval; the source whose share of the cumulative targets holds the point fills
 the slot. The r-th slot of a source takes the r-th block of ``block_words`` words
 of that source's documents, shuffled by a hash and read at most twice. So any
-stretch of the schedule holds the sources in their target shares, and a source
-differs from its target by a few blocks at most.
+stretch of the schedule holds the sources in their target shares. Each source's last
+block ends at its target, rounded to whole words, and the few blocks that the schedule's points leave out stand
+behind its end, so every source, however small, gives the words that its target asks for.
 
 No step gathers a source: running totals go over (source, hash bucket) first and
 over the bucket sums second, ranks over (source, stretch of slots) likewise, and
@@ -20,6 +21,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal, getcontext
 
 from pyspark.sql import Column, DataFrame, Window
@@ -104,8 +106,19 @@ def schedule(targets: DataFrame, n_slots: int) -> DataFrame:
         "slot", "ord", (F.col("before") + F.col("inside")).alias("rank"))
 
 
+def filled(slots: DataFrame, targets: DataFrame, n_slots: int, block_words: int) -> DataFrame:
+    """The slots of blocks that targets ask for; blocks that no slot fills follow behind slot ``n_slots``."""
+    needs = targets.select("ord", F.ceil(F.round("target") / block_words).alias("need"))
+    used = slots.join(needs, "ord").where("rank < need").drop("need")
+    held = used.groupBy("ord").agg(F.count(F.lit(1)).alias("n"))
+    short = needs.join(held, "ord", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < need")
+    late = short.select("ord", "n", F.explode(F.sequence("n", F.col("need") - 1)).alias("rank"))
+    return used.select("slot", "ord", "rank").union(
+        late.select((F.lit(n_slots) + F.col("rank") - F.col("n")).alias("slot"), "ord", "rank"))
+
+
 def blocks(sized: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
-    """ord, rank, _row, at, words: the parts of documents that make up each block of a source, in two rounds."""
+    """ord, rank, _row, at, words: the parts of documents that make up each block of a source up to its target, in two rounds."""
     bucket = F.substring("_key", 1, 3)
     in_order = Window.partitionBy("source", "bucket").orderBy("_key", "_row").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.where("size > 0").select("_row", "source", "size", "_key", bucket.alias("bucket"))
@@ -115,11 +128,12 @@ def blocks(sized: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
                        F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(in_order), F.lit(0)))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
-    known = targets.select("ord", F.col("source").alias("_t"), "source_size")
+    known = targets.select("ord", F.col("source").alias("_t"), "source_size", F.round("target").cast("bigint").alias("upto"))
     placed = placed.join(known, F.col("source").eqNullSafe(F.col("_t"))).select(
-        "ord", "_row", "size", "source_size", (F.col("before") + F.col("inside")).alias("from"))
+        "ord", "_row", "size", "source_size", "upto", (F.col("before") + F.col("inside")).alias("from"))
     twice = placed.withColumn("round", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
-        "from", F.col("from") + F.col("round") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
+        "from", F.col("from") + F.col("round") * F.col("source_size")).where("from < upto").withColumn(
+        "to", F.least(F.col("from") + F.col("size"), "upto"))
     b = F.lit(block_words)
     each = twice.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / b), F.floor((F.col("to") - 1) / b))))
     start = F.greatest("from", F.col("rank") * b)
@@ -134,7 +148,8 @@ def mix(docs: DataFrame, block_words: int = 64, weights: tuple[int, ...] = WEIGH
     sized = common.stored(sizes(docs, row), "mix-sizes")
     targets = common.stored(source_targets(sized, weights, share, most), "mix-sources")
     wanted = targets.agg(F.sum("target").alias("t")).first()["t"] or 0.0
-    slots = schedule(targets, round(wanted / block_words))
+    n_slots = math.ceil(wanted / block_words)
+    slots = filled(schedule(targets, n_slots), targets, n_slots, block_words)
     drawn = slots.join(blocks(sized, targets, block_words), ["ord", "rank"])
     return sized, targets, drawn.select("slot", "ord", "_row", "round", "at", "words")
 
@@ -149,24 +164,30 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
         F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, as it stands."""
+    parts = F.split(text, rf"(?<={common.SPACE[:-1]})(?={common.WORD[:-1]})")  # a word and the space behind it
+    lead = text.rlike(f"^{common.SPACE}").cast("int")
+    return F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), n + lead), ""), rf"{common.SPACE}+\z", "")
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents with their own columns: a document once per round that
     takes it; the one document of a source at which its last round ends keeps its
-    first words only, as many as are taken."""
-    columns = docs.columns
-    numbered = common.numbered(docs, "mix-rows")
-    sized, _, drawn = mix(numbered, row=F.col("_row"), **options)
-    rounds = drawn.groupBy("_row", "round").agg(F.sum("words").alias("_words"))
-    rows = rounds.join(sized.select(F.col("_row"), F.col("size").alias("_size")), "_row").drop("round")
-    whole = numbered.join(rows, "_row")
-    words = common.words_of(F.col("text"))
-    cut = F.col("_words") < F.col("_size")
-    text = F.when(cut, F.array_join(F.slice(words, 1, F.col("_words").cast("int")), " ")).otherwise(F.col("text"))
+    first words only, as many as are taken. The rows of each partition, which are a random
+    part of the mix, stand in the order of the schedule."""
+    rows = common.nested(docs, "mix-rows")
+    sized, _, drawn = mix(rows.select("key", "doc.doc_id", "doc.source", "doc.text"), row=F.col("key"), **options)
+    rounds = drawn.groupBy("_row", "round").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    taken = rounds.join(sized.select("_row", "size"), "_row").select(
+        F.col("_row").alias("key"), "words", "slot", (F.col("words") < F.col("size")).alias("cut"))
+    whole = rows.join(common.stored(taken, "mix-taken"), "key").sortWithinPartitions("slot")
+    text = F.when(F.col("cut"), first_words(F.col("doc.text"), F.col("words").cast("int"))).otherwise(F.col("doc.text"))
     changed = {"text": text}
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        changed["n_chars"] = F.when(cut, F.length(text).cast(kind)).otherwise(F.col("n_chars"))
-    return whole.withColumns(changed).select(*columns)
+        changed["n_chars"] = F.when(F.col("cut"), F.length(text).cast(kind)).otherwise(F.col("doc.n_chars"))
+    return common.unnested(whole, docs, **changed)
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -174,11 +195,10 @@ def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
-def _oracle(block_words: int = 64) -> str:
-    return f"""
+ORACLE = r"""
 with d as (
   select row_number() over (order by doc_id) - 1 as r, doc_id, source,
-         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
          md5(coalesce(doc_id::varchar, '')) as k
   from documents),
 s as (
@@ -195,25 +215,11 @@ t as (
   select ord, source, source_size,
          case when is_full then cap else least(cap, w * (total - coalesce(sum(cap) filter (is_full) over (), 0))
               / sum(w) filter (not is_full) over ()) end as target from s2),
-p as (
-  select ord, sum(target) over (order by ord) / sum(target) over () as hi0, max(ord) over () as last
-  from t where target > 0),
-q as (
-  select ord, coalesce(lag(hi0) over (order by ord), 0) as lo, case when ord = last then 1.0 else hi0 end as hi from p),
-n as (select round(sum(target) / {block_words})::bigint as n from t),
-u as (
-  select slot, x - floor(x) as u from (
-    select g as slot, (g // {HIGH}) * {STEP_HIGH!r}::double + (g % {HIGH}) * {STEP_LOW!r}::double as x
-    from (select unnest(range((select n from n))) as g))),
-c as (select ord, count(*) as n from u join q on u.u >= q.lo and u.u < q.hi group by ord),
 f as (
-  select d.*, t.ord, t.source_size, t.target, least(2 * t.source_size, coalesce(c.n, 0) * {block_words}) as upto,
+  select d.*, t.source_size, t.target, round(t.target) as upto,
          sum(size) over (partition by t.ord order by k, r) - size as a
-  from d join t on d.source is not distinct from t.source left join c on c.ord = t.ord)
+  from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target,
        (greatest(0, least(upto, a + size) - a)
         + greatest(0, least(upto, source_size + a + size) - source_size - a))::bigint as taken
 from f"""
-
-
-ORACLE = _oracle()

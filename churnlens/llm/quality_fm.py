@@ -190,7 +190,8 @@ def score_documents(docs: DataFrame, machine: Machine, name: str = SCORE) -> Dat
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents whose score is ``least`` or more; columns as given."""
-    return score_documents(docs, train(docs, labels)).where(F.col(SCORE) >= least).select(*docs.columns)
+    name = common.free_name(docs, SCORE)
+    return score_documents(docs, train(docs, labels), name).where(F.col(name) >= least).select(*docs.columns)
 
 
 def op8_quality_fm(spark, sf_dir: str) -> DataFrame:

@@ -122,24 +122,24 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     Wider ones are masked where they stand, so copied ones in the same document stay; a base secret
     that overlaps one goes with it.
     """
-    columns = docs.columns
-    rows = common.numbered(docs, "secret-rows")
+    rows = common.nested(docs, "secret-rows")
     both = F.concat(labelled([k.name for k in BASE]), "added")
     places = F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    judged = find_secrets(rows, row=F.col("_row"), **options).where(F.size("added") > 0).select(
-        "_row", F.sort_array(places).alias("_places"))
-    df = rows.join(judged, "_row", "left")
-    df = df.withColumn("_new", F.when(F.col("_places").isNotNull(), _masked_at(F.col("text"), F.col("_places")))
-                       .otherwise(F.col("text")))
+    name = common.free_name(docs, "key")
+    judged = find_secrets(rows.select("doc.*", F.col("key").alias(name)), row=F.col(name), **options).where(F.size("added") > 0).select(
+        F.col("_row").alias("key"), F.sort_array(places).alias("places"))
+    df = rows.join(common.stored(judged, "secret-places"), "key", "left")
+    df = df.withColumn("new", F.when(F.col("places").isNotNull(), _masked_at(F.col("doc.text"), F.col("places")))
+                       .otherwise(F.col("doc.text")))
     for kind in BASE:
-        df = df.withColumn("_new", F.when(F.col("_new").rlike(kind.pattern), masked(F.col("_new"), kind, MARK))
-                           .otherwise(F.col("_new")))
-    changed = {"text": F.col("_new")}
-    if "n_chars" in columns:
-        same = F.col("_new").eqNullSafe(F.col("text"))
-        changed["n_chars"] = F.when(same, F.col("n_chars")).otherwise(
-            F.length("_new").cast(dict(docs.dtypes)["n_chars"]))
-    return df.withColumns(changed).select(*columns)
+        df = df.withColumn("new", F.when(F.col("new").rlike(kind.pattern), masked(F.col("new"), kind, MARK))
+                           .otherwise(F.col("new")))
+    changed = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        same = F.col("new").eqNullSafe(F.col("doc.text"))
+        changed["n_chars"] = F.when(same, F.col("doc.n_chars")).otherwise(
+            F.length("new").cast(dict(docs.dtypes)["n_chars"]))
+    return common.unnested(df, docs, **changed)
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -77,7 +77,8 @@ def fingerprints(docs: DataFrame, width: int = 3, row: Column | None = None) ->
     """_row (new numbers unless given), doc_id, fp (the 64 bits as a long)."""
     row = F.monotonically_increasing_id() if row is None else row
     rows = docs.select(row.alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(_fingerprints(width), "_row bigint, doc_id bigint, fp bigint")
+    kind = rows.schema["_row"].dataType.simpleString()
+    return rows.mapInArrow(_fingerprints(width), f"_row {kind}, doc_id bigint, fp bigint")
 
 
 class BKTree:
@@ -218,13 +219,15 @@ def component_ids(known: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def first_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest doc_id stays."""
-    rows = common.numbered(docs, "simhash-rows")
-    known, found = near_duplicates(rows, row=F.col("_row"), **options)
+    """The documents without near copies: of each component the row with the smallest doc_id stays.
+
+    Texts meet the decisions on the row's place in its file, once; nothing else of the documents is written.
+    """
+    rows = common.nested(docs, "simhash-rows")
+    known, found = near_duplicates(rows.select("key", "doc.doc_id", "doc.text"), row=F.col("key"), **options)
     grouped = known.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    stays = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    kept = rows.join(stays.select("_row"), "_row", "left_semi")
-    return kept.select(*docs.columns)
+    stays = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("key"))
+    return common.unnested(rows.join(common.stored(stays.select("key"), "simhash-stays"), "key", "left_semi"), docs)
 
 
 def op7_simhash_bk_tree(spark, sf_dir: str) -> DataFrame:

@@ -46,7 +46,8 @@ def clashing(docs):
     from pyspark.sql import functions as F
     return docs.withColumns({c: F.lit(f"own {c}") for c in (
         "size", "target", "taken", "ids", "piece", "start", "length", "fingerprint", "component_id", "score", "kept",
-        "label", "quality", "spans", "n_words", "kind", "value", "_h", "_n", "words", "rank", "ord", "weight")})
+        "label", "quality", "spans", "n_words", "kind", "value", "_h", "_n", "words", "rank", "ord", "weight",
+        "_row", "_new", "_words", "_places", "_size", "_quality_score", "key", "doc", "new", "places", "cut", "slot", "round")})
 
 
 @pytest.fixture(scope="session")

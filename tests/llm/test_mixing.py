@@ -89,3 +89,33 @@ def test_mixed_documents_hold_the_taken_words(spark, docs, rows):
     for r in mixed.collect():
         words[r.doc_id] = words.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
     assert words == {i: sum(t) for i, t in taken.items() if sum(t)}
+
+
+def test_small_sources_give_what_their_targets_ask_for(monkeypatch, spark):
+    def table(rows):
+        return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    one = table([(1, "word " * 20, "en", "a", 100)])
+    assert [(r.size, r.target, r.taken) for r in run(monkeypatch, one)] == [(20, 30.0, 30)]
+    rows = [(1, "word " * 20, "en", "a", 100)] + [(i, "word " * 10, "en", "b", 50) for i in range(2, 400)]
+    got = {r.doc_id: r for r in run(monkeypatch, table(rows))}
+    assert got[1].target == 40 and got[1].taken == 40
+    assert sum(r.taken for i, r in got.items() if i > 1) == round(got[2].target)
+    many = [(i, "word " * (1 + i % 7), "en", f"s{i}", 0) for i in range(300)]  # targets below one block each
+    for r in run(monkeypatch, table(many)):
+        assert r.taken == round(r.target)
+
+
+def test_a_cut_text_keeps_its_own_space(spark):
+    df = spark.createDataFrame([(t, n) for t, n in (("  a\nb\t c d ", 3), ("a b", 1), ("x", 1), ("\n\n y\n", 1))], "t string, n int")
+    assert [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("n"))).collect()] == ["  a\nb\t c", "a", "x", "\n\n y"]
+
+
+def test_rows_of_a_partition_follow_the_schedule(spark):
+    rows = [(i, f"d{i} " * 64, "en", "ab"[i % 2], 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mixed = mixing.mixed_documents(docs).select("source", F.spark_partition_id().alias("p")).collect()
+    by_part: dict = {}
+    for r in mixed:
+        by_part.setdefault(r.p, []).append(r.source)
+    assert any(len(set(part[:8])) == 2 for part in by_part.values())
+    assert sum(r.source == "a" for r in mixed) == 200 and sum(r.source == "b" for r in mixed) == 100
