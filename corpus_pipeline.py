@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 kept; its result is written as Parquet to the shared folder and read back as the next
-stage's documents. All but the last return the columns of ``documents``.
+stage's documents. All but the last return the columns of ``documents``, whatever further columns
+are called. Texts meet a stage's decisions on their place in the file that is read, in one
+exchange at most.
+
+Rows, in every stage: null and empty texts are documents (no words, no secrets, one end token); a null doc_id
+is kept; an empty table gives an empty table. Repeated rows and other copies are one group, of which
+``near_dedup`` keeps the row with the smallest doc_id, the first such row if there are several.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from churnlens.llm import common, mixing, packing, quality_fm, secret_scan, simh
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go (operator 8)."""
+    """Documents that the quality classifier rejects go (operator 8); a score of exactly the threshold stays."""
     return quality_fm.keep_good(docs, common.table(spark, sf_dir, "labels"))
 
 
@@ -28,7 +34,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them (operator 4)."""
+    """Documents as often as the mix of sources takes them (operator 4); documents without words are never taken."""
     return mixing.mixed_documents(docs)
 
 
@@ -44,7 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over ``documents``. A stage's intermediate tables, and the documents it read, are removed
+    when its own rows are written, so the shared folder never holds more than two stages' documents."""
+    docs, read = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = common.shared_folder(spark, f"pipeline-{name}")
+        with common.removed_after(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if read:
+            common.remove(spark, read)
+        docs, read = spark.read.schema(out.schema).parquet(path), path
     return docs
