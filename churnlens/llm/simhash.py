@@ -221,13 +221,14 @@ def component_ids(known: DataFrame, found: DataFrame) -> DataFrame:
 def first_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id stays.
 
-    Texts meet the decisions on the row's place in its file, once; nothing else of the documents is written.
+    Texts meet the decisions on the row's place in its file, once, by the same kind of join at every size;
+    nothing else of the documents is written.
     """
     rows = common.nested(docs, "simhash-rows")
     known, found = near_duplicates(rows.select("key", "doc.doc_id", "doc.text"), row=F.col("key"), **options)
     grouped = known.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     stays = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("key"))
-    return common.unnested(rows.join(common.stored(stays.select("key"), "simhash-stays"), "key", "left_semi"), docs)
+    return common.unnested(rows.join(common.stored(stays.select("key"), "simhash-stays").hint("merge"), "key", "left_semi"), docs)
 
 
 def op7_simhash_bk_tree(spark, sf_dir: str) -> DataFrame:
