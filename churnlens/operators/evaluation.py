@@ -25,10 +25,14 @@ from churnlens.operators import intents
 
 # Render kinds offered by the answer builder, by turn number
 ANSWER_KINDS = ["table", "chart", "qa", "cards", "markdown", "graph"]
+GOLDEN_SCHEMA = ("conv_id bigint, turn bigint, expected_intent string, expected_route string, "
+                 "expected_entities map<string,array<string>>, expected_tools array<string>, "
+                 "expected_retrieval array<string>, expected_render string, expects_recommendations boolean, "
+                 "expects_prioritization boolean, irrelevant boolean, no_data boolean")
 SECTION_T = "array<struct<heading:string,content:string,citations:array<string>>>"
 
 
-def _node_tools() -> Column:
+def node_tools() -> Column:
     """Tools of the routed node: one map lookup (the node is referenced once)."""
     tools = F.create_map(*[x for node, ts in L.NODE_TOOLS
                            for x in (F.lit(node), F.array(*[F.lit(t) for t in ts]))])
@@ -69,8 +73,8 @@ def traces(q: DataFrame, further: list[Column] | None = None) -> DataFrame:
         span("classify", "node", t0, F.length("text") / 100.0, intent=F.col("intent"), entities=ents),
         span("route", "node", t0 + 0.1, F.lit(0.05), intent=F.col("intent"), node=F.col("routed_node")),
         # node span name is data-dependent: node:<routed_node>
-        span(F.concat(F.lit("node:"), F.col("routed_node")), "node", t0 + 0.2, F.size(_node_tools()) * 1.5,
-             node=F.col("routed_node"), tools=_node_tools()),
+        span(F.concat(F.lit("node:"), F.col("routed_node")), "node", t0 + 0.2, F.size(node_tools()) * 1.5,
+             node=F.col("routed_node"), tools=node_tools()),
         span("reason", "llm", t0 + 0.3, n_words * 0.25, used_llm=F.lit(False), tin=n_words.cast("bigint"),
              tout=F.lit(0).cast("bigint")),
     )
@@ -112,8 +116,8 @@ def golden_columns() -> list[Column]:
         tools = F.when(cond, arr) if tools is None else tools.when(cond, arr)
     return [
         F.col("f.intent").alias("expected_intent"), F.col("f.routed_node").alias("expected_route"),
-        F.when(F.col("f.segment").isNotNull(), F.create_map(F.lit("segment"), F.col("f.segment")))
-        .otherwise(F.create_map().cast("map<string,string>")).alias("expected_entities"),
+        F.when(F.col("f.segment").isNotNull(), F.create_map(F.lit("segment"), F.array("f.segment")))
+        .otherwise(F.create_map().cast("map<string,array<string>>")).alias("expected_entities"),
         tools.otherwise(F.array().cast("array<string>")).alias("expected_tools"),
         F.when(F.col("f.routed_node") == "rag", F.array(F.lit("feedback"))).otherwise(
             F.array().cast("array<string>")).alias("expected_retrieval"),
@@ -139,10 +143,20 @@ def _span(name: str) -> Column:
     return F.get(F.filter("spans", lambda s: s["name"] == name), 0)
 
 
-def _metric(passed: Column, score: Column | None = None) -> Column:
+def _metric(passed: Column, score: Column | None = None, detail: Column | None = None) -> Column:
     p = F.coalesce(passed, F.lit(False))
     return F.struct(p.alias("passed"),
-                    (score if score is not None else F.when(p, 1.0).otherwise(0.0)).cast("double").alias("score"))
+                    (score if score is not None else F.when(p, 1.0).otherwise(0.0)).cast("double").alias("score"),
+                    (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
+
+
+def _versus(expected: Column, actual: Column) -> Column:
+    return F.concat(F.lit("expected "), expected, F.lit(", got "), F.coalesce(actual, F.lit("none")))
+
+
+def _named(label: str, items: Column) -> Column:
+    """``label`` and the items, or null if there are none."""
+    return F.when(F.size(items) > 0, F.concat(F.lit(label + " "), F.array_join(items, "|")))
 
 
 def metrics(df: DataFrame) -> DataFrame:
@@ -160,9 +174,10 @@ def metrics(df: DataFrame) -> DataFrame:
                 .when(k == "segment", F.when(ents["segment"].isNotNull(), F.array(ents["segment"])))
                 .when(k == "plan", F.when(ents["plan"].isNotNull(), F.array(ents["plan"]))))
 
-    found = F.filter(exp_keys, lambda k: F.coalesce(F.array_contains(
-        F.coalesce(actual_for(k), F.array().cast("array<string>")), F.col("expected_entities")[k]), F.lit(False)))
+    found = F.filter(exp_keys, lambda k: (F.size(F.col("expected_entities")[k]) > 0) & (F.size(F.array_except(
+        F.col("expected_entities")[k], F.coalesce(actual_for(k), F.array().cast("array<string>")))) == 0))
     n_exp = F.size(exp_keys)
+    not_found = F.array_sort(F.array_except(exp_keys, found))
     called = F.array_distinct(F.flatten(F.transform(
         F.filter("spans", lambda s: s["name"].startswith("node:")),
         lambda s: F.coalesce(s["metadata"]["tools"], F.array().cast("array<string>")))))
@@ -174,8 +189,9 @@ def metrics(df: DataFrame) -> DataFrame:
     found_ret = F.filter("expected_retrieval", lambda r: blob.contains(F.lower(r)))
     n_ret = F.size("expected_retrieval")
     facts = F.coalesce(a["facts"], F.array())
-    cited = F.forall(facts, lambda s: (F.coalesce(F.size(s["citations"]), F.lit(0)) > 0)
-                     | F.coalesce(s["content"], F.lit("")).rlike(L.RECORD_ID_PATTERN))
+    uncited = F.filter(facts, lambda s: (F.coalesce(F.size(s["citations"]), F.lit(0)) <= 0)
+                       & ~F.coalesce(s["content"], F.lit("")).rlike(L.RECORD_ID_PATTERN))
+    missing_ret = F.filter("expected_retrieval", lambda r: ~blob.contains(F.lower(r)))
     kind = F.coalesce(a["render_hint"]["payload"]["kind"], a["render_hint"]["kind"], F.lit("markdown"))
     others = F.coalesce(a["other_sections"], F.array())
     has_prio = F.exists(others, lambda s: F.lower(F.coalesce(s["heading"], F.lit(""))).contains("priorit")
@@ -183,20 +199,23 @@ def metrics(df: DataFrame) -> DataFrame:
     conf = a["confidence"]
     hint_kind = F.coalesce(a["render_hint"]["kind"], F.lit("markdown"))
     m = {
-        "routing": _metric(route == F.col("expected_route")),
-        "intent": _metric(intent == F.col("expected_intent")),
-        "entities": _metric(F.size(found) == n_exp, F.size(found) / F.greatest(n_exp, F.lit(1))),
+        "routing": _metric(route == F.col("expected_route"), None, _versus(F.col("expected_route"), route)),
+        "intent": _metric(intent == F.col("expected_intent"), None, _versus(F.col("expected_intent"), intent)),
+        "entities": _metric(F.size(found) == n_exp, F.size(found) / F.greatest(n_exp, F.lit(1)),
+                            _named("missing", not_found)),
         "tools": _metric(F.size(missing_tools) == 0,
-                         (n_tools - F.size(missing_tools)) / F.greatest(n_tools, F.lit(1))),
+                         (n_tools - F.size(missing_tools)) / F.greatest(n_tools, F.lit(1)), _named("missing", missing_tools)),
         "retrieval": _metric(F.size(found_ret) == n_ret,
-                             F.when(n_ret == 0, 1.0).otherwise(F.size(found_ret) / n_ret)),
-        "citations": _metric(F.col("irrelevant") | ((F.size(facts) > 0) & cited)),
-        "render": _metric(kind == F.col("expected_render")),
+                             F.when(n_ret == 0, 1.0).otherwise(F.size(found_ret) / n_ret), _named("missing", missing_ret)),
+        "citations": _metric(F.col("irrelevant") | ((F.size(facts) > 0) & (F.size(uncited) == 0)), None,
+                             _named("uncited", F.transform(uncited, lambda s: s["heading"]))),
+        "render": _metric(kind == F.col("expected_render"), None, _versus(F.col("expected_render"), kind)),
         "recommendations": _metric(~F.col("expects_recommendations")
                                    | (F.size(F.coalesce(a["recommendation"], F.array())) > 0)),
         "prioritization": _metric(~F.col("expects_prioritization") | has_prio),
         "irrelevant": _metric(~F.col("irrelevant") | ((conf == "low") & (hint_kind == "markdown"))),
-        "confidence": _metric(F.when(F.col("no_data"), conf == "low").otherwise(conf.isin("high", "medium"))),
+        "confidence": _metric(F.when(F.col("no_data"), conf == "low").otherwise(conf.isin("high", "medium")), None,
+                              _versus(F.when(F.col("no_data"), "low").otherwise("high or medium"), conf)),
     }
     passed_n = sum((F.col(k)["passed"].cast("int") for k in m), F.lit(0))
     return (df.select("conv_id", "turn", "trace_id", *[v.alias(k) for k, v in m.items()])
@@ -209,6 +228,30 @@ METRIC_NAMES = ["routing", "intent", "entities", "tools", "retrieval", "citation
                 "prioritization", "irrelevant", "confidence"]
 
 
+def read_golden(spark, path: str) -> DataFrame:
+    """Golden rows of a JSON-lines file: expected values per question, entities as lists per kind."""
+    return spark.read.schema(GOLDEN_SCHEMA).option("mode", "FAILFAST").json(path)
+
+
+def golden_frame(golden: DataFrame, q: DataFrame, ans: DataFrame) -> DataFrame:
+    """Golden values with the trace and the answer of their question; questions without golden values are left out."""
+    from churnlens.operators.guards import parse_answer
+    a = ans.select("conv_id", "turn", parse_answer(F.col("answer_json")).alias("answer"))
+    return traces(q).join(golden, ["conv_id", "turn"]).join(a, ["conv_id", "turn"], "left")
+
+
+def metrics_by_name(per_question: DataFrame) -> DataFrame:
+    """The per-question rows with the metrics as one map: name -> (passed, score, detail)."""
+    pairs = [x for k in METRIC_NAMES for x in (F.lit(k), F.col(k))]
+    return per_question.select("conv_id", "turn", "passed_metrics", "total_metrics", "passed", F.create_map(*pairs).alias("metrics"))
+
+
+def long_metrics(by_name: DataFrame) -> DataFrame:
+    """One row per question and metric."""
+    each = by_name.select("conv_id", "turn", F.explode("metrics").alias("metric", "m"))
+    return each.select("conv_id", "turn", "metric", "m.passed", "m.score", "m.detail")
+
+
 def summary(per_question: DataFrame) -> DataFrame:
     """Questions, passed, failed, pass rate, metric rate (3 decimals)."""
     n = F.count(F.lit(1))
@@ -246,7 +289,7 @@ def trace_token_usage(t: DataFrame) -> DataFrame:
 
 def tool_calls(q: DataFrame) -> DataFrame:
     """The calls each question's node makes, with arguments from its entities."""
-    calls = q.select("conv_id", "turn", F.posexplode(_node_tools()).alias("call_order", "tool"),
+    calls = q.select("conv_id", "turn", F.posexplode(node_tools()).alias("call_order", "tool"),
                      "customer_ids", "segment", "plan")
     args = F.map_filter(F.map_from_arrays(
         F.array(F.lit("customer_id"), F.lit("segment"), F.lit("plan")),

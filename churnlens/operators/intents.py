@@ -156,8 +156,8 @@ def _title(c: Column) -> Column:
 
 
 def question_log(conversations: DataFrame) -> DataFrame:
-    """User turns as a question log."""
-    return conversations.filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    """User turns as a question log; a turn without text is stopped by the input check (G1)."""
+    return conversations.filter((F.col("role") == "user") & F.col("text").isNotNull()).select("conv_id", "turn", "text")
 
 
 def tag_questions(conversations: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from churnlens.functions import lexicons as L
+from churnlens.sources import logs
 from churnlens.plans.oracle_sql import _lit_list, answers_sql, intents_sql
 
 METRIC_COLS = ["routing", "intent_ok", "entities", "tools", "retrieval", "citations", "render", "recommendations",
@@ -22,8 +23,13 @@ def _head(with_answers: bool) -> str:
 
 def _calls() -> str:
     tm = _tools_map()
-    return (f"select conv_id, turn, unnest(coalesce({tm}[routed_node], [])) as tool, "
-            f"unnest(range(len(coalesce({tm}[routed_node], [])))) as call_order, customer_ids, segment, plan from h3")
+    keys = ("list_filter([CASE WHEN len(customer_ids) > 0 THEN 'customer_id' END, "
+            "CASE WHEN segment is not null THEN 'segment' END, CASE WHEN plan is not null THEN 'plan' END], "
+            "lambda x: x is not null)")
+    own = ("map {'customer_id': customer_ids[1], 'segment': segment, 'plan': plan}")
+    return (f"select conv_id, turn, call_order, tool, map_keys(args) as keys, args from ({logs.calls_sql()}) c union all "
+            f"select conv_id, turn, unnest(range(len(coalesce({tm}[routed_node], [])))) as call_order, "
+            f"unnest(coalesce({tm}[routed_node], [])) as tool, {keys} as keys, {own} as args from h3")
 
 
 def eval_sqls() -> dict[str, str]:
@@ -39,7 +45,7 @@ first AS (select conv_id, arg_min({{'i': intent, 'r': routed_node, 's': segment}
 e AS (select q.conv_id, q.turn, q.intent, q.routed_node, q.segment, f.f.i as e_intent, f.f.r as e_route,
   f.f.s as e_segment, coalesce({tm}[f.f.r], []::varchar[])[1:2] as e_tools,
   CASE WHEN f.f.r = 'rag' THEN ['feedback'] ELSE []::varchar[] END as e_ret, f.f.i = 'irrelevant' as irrelevant,
-  coalesce({tm}[q.routed_node], []::varchar[]) as called, a.summary, a.facts, a.confidence, a.kind
+  coalesce({tm}[q.routed_node], []::varchar[]) as called, a.summary, a.facts, a.confidence, a.kind, a.payload
  from h3 q join first f using (conv_id) left join ans a on a.conv_id = q.conv_id and a.turn = q.turn),
 m AS (select conv_id, turn,
   coalesce(routed_node = e_route, false) as routing,
@@ -51,7 +57,7 @@ m AS (select conv_id, turn,
   {found_ret} = len(e_ret) as retrieval,
   CASE WHEN len(e_ret) = 0 THEN 1.0 ELSE {found_ret} / len(e_ret) END as retrieval_score,
   irrelevant or (len(coalesce(facts, [])) > 0 and {uncited} = 0) as citations,
-  coalesce(kind, 'markdown') = 'markdown' as render,
+  coalesce(payload, kind, 'markdown') = 'markdown' as render,
   true as recommendations, true as prioritization,
   not irrelevant or coalesce(confidence = 'low' and coalesce(kind, 'markdown') = 'markdown', false) as irrelevant_ok,
   coalesce(confidence in ('high', 'medium'), false) as confidence_ok
@@ -75,6 +81,7 @@ m AS (select conv_id, turn,
         "cast(sum(passed_metrics) as bigint) as metric_ok, cast(sum(total_metrics) as bigint) as metric_total, "
         "CASE WHEN sum(total_metrics) > 0 THEN round(sum(passed_metrics) / sum(total_metrics), 3) ELSE 0.0 END "
         f"as metric_rate from ({pq}) p")
+    out |= golden_sqls()
     words = "len(string_split_regex(trim(text), '\\s+'))"
     head = _head(False)
     out["trace_latency"] = head + (
@@ -92,12 +99,73 @@ m AS (select conv_id, turn,
     return out
 
 
+def golden_sqls() -> dict[str, str]:
+    """The metrics of the golden rows, one row per question and metric, and their summary."""
+    tm = _tools_map()
+    blob = ("lower(coalesce(summary, '') || ' ' || array_to_string(list_transform(coalesce(facts, []), "
+            "lambda s: coalesce(s.content, '')), ' '))")
+    actual = ("CASE x.k WHEN 'customer_ids' THEN customer_ids WHEN 'ticket_ids' THEN ticket_ids WHEN 'feedback_ids' THEN "
+              "feedback_ids WHEN 'segment' THEN CASE WHEN segment is null THEN []::varchar[] ELSE [segment] END "
+              "WHEN 'plan' THEN CASE WHEN plan is null THEN []::varchar[] ELSE [plan] END ELSE []::varchar[] END")
+    lost = (f"list_sort(list_transform(list_filter(expected_entities, lambda x: len(x.v) = 0 or "
+            f"not list_has_all({actual}, x.v)), lambda x: x.k))")
+    no_tool = "list_filter(expected_tools, lambda t: not list_contains(called, t))"
+    no_ret = f"list_filter(expected_retrieval, lambda r: not contains({blob}, lower(r)))"
+    uncited = (f"list_transform(list_filter(coalesce(facts, []), lambda s: not (len(s.citations) > 0 or "
+               f"regexp_matches(coalesce(s.content, ''), '{L.RECORD_ID_PATTERN}'))), lambda s: s.heading)")
+    prio = ("len(list_filter(coalesce(other_sections, []), lambda s: contains(lower(coalesce(s.heading, '')), 'priorit') "
+            "or contains(lower(coalesce(s.content, '')), 'priorit'))) > 0")
+
+    def versus(expected: str, got: str) -> str:
+        return f"'expected ' || {expected} || ', got ' || coalesce({got}, 'none')"
+
+    def named(label: str, items: str) -> str:
+        return f"CASE WHEN len({items}) > 0 THEN '{label} ' || array_to_string({items}, '|') END"
+
+    def share(lacking: str, of: str) -> str:
+        return f"(len({of}) - len({lacking})) / greatest(len({of}), 1)"
+    shown = "coalesce(payload, kind, 'markdown')"
+    wanted_conf = "CASE WHEN no_data THEN 'low' ELSE 'high or medium' END"
+    m = {
+        "routing": ("routed_node = expected_route", None, versus("expected_route", "routed_node")),
+        "intent": ("intent = expected_intent", None, versus("expected_intent", "intent")),
+        "entities": (f"len({lost}) = 0", share(lost, "expected_entities"), named("missing", lost)),
+        "tools": (f"len({no_tool}) = 0", share(no_tool, "expected_tools"), named("missing", no_tool)),
+        "retrieval": (f"len({no_ret}) = 0", f"CASE WHEN len(expected_retrieval) = 0 THEN 1.0 ELSE {share(no_ret, 'expected_retrieval')} END",
+                      named("missing", no_ret)),
+        "citations": (f"irrelevant or (len(coalesce(facts, [])) > 0 and len({uncited}) = 0)", None, named("uncited", uncited)),
+        "render": (f"{shown} = expected_render", None, versus("expected_render", shown)),
+        "recommendations": ("not expects_recommendations or len(coalesce(recommendation, [])) > 0", None, "null"),
+        "prioritization": (f"not expects_prioritization or {prio}", None, "null"),
+        "irrelevant": ("not irrelevant or (confidence = 'low' and coalesce(kind, 'markdown') = 'markdown')", None, "null"),
+        "confidence": ("CASE WHEN no_data THEN confidence = 'low' ELSE confidence in ('high', 'medium') END", None,
+                       versus(wanted_conf, "confidence")),
+    }
+    parts = [f"select conv_id, turn, '{name}' as metric, coalesce({ok}, false) as passed, "
+             f"cast({score or f'CASE WHEN coalesce({ok}, false) THEN 1.0 ELSE 0.0 END'} as double) as score, "
+             f"cast({detail} as varchar) as detail from e" for name, (ok, score, detail) in m.items()]
+    head = _head(True).rstrip() + f""",
+e AS (select g.*, q.intent, q.routed_node, q.customer_ids, q.ticket_ids, q.feedback_ids, q.segment, q.plan,
+  coalesce({tm}[q.routed_node], []::varchar[]) as called, a.summary, a.facts, a.recommendation, a.other_sections,
+  a.confidence, a.kind, a.payload
+ from ({logs.golden_sql()}) g join h3 q on q.conv_id = g.conv_id and q.turn = g.turn
+  left join ans a on a.conv_id = g.conv_id and a.turn = g.turn),
+m AS ({" union all ".join(parts)})
+"""
+    per_question = "select count(*) filter (where passed) as ok, count(*) as n from m group by conv_id, turn"
+    return {"golden_metrics": head + "select * from m",
+            "sink_report_questions": head + "select * from m",
+            "golden_summary": head + (
+                "select count(*) as questions, count(*) filter (where ok = n) as passed, count(*) filter (where ok < n) as failed, "
+                "round(count(*) filter (where ok = n) / count(*), 3) as pass_rate, cast(sum(ok) as bigint) as metric_ok, "
+                "cast(sum(n) as bigint) as metric_total, round(sum(ok) / sum(n), 3) as metric_rate "
+                f"from ({per_question}) p")}
+
+
 def tool_calls_body() -> str:
     allowed = "MAP {" + ", ".join(f"'{t}': {_lit_list(a) if a else '[]::varchar[]'}"
                                   for t, a in L.TOOL_REGISTRY) + "}"
-    keys = ("list_filter([CASE WHEN len(customer_ids) > 0 THEN 'customer_id' END, "
-            "CASE WHEN segment is not null THEN 'segment' END, CASE WHEN plan is not null THEN 'plan' END], "
-            "lambda x: x is not null)")
+    keys = "keys"
     unknown = f"list_sort(list_filter({keys}, lambda k: not list_contains(coalesce({allowed}[tool], []::varchar[]), k)))"
     known = f"({allowed}[tool] is not null)"
     q1 = "'''"

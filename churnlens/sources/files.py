@@ -92,5 +92,16 @@ def write_report_json(df: DataFrame, path: str) -> str:
     return path
 
 
+REPORT_QUESTION = ("conv_id bigint, turn bigint, passed_metrics int, total_metrics int, passed boolean, "
+                   "metrics map<string, struct<passed: boolean, score: double, detail: string>>")
+
+
+def write_report(overall: DataFrame, questions: DataFrame, path: str) -> str:
+    """The whole report: ``overall`` (one row) and ``questions`` (a row each, metrics nested by name)."""
+    write_report_json(questions, f"{path}/questions")
+    write_report_json(overall, f"{path}/overall")
+    return path
+
+
 def unique_path(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -83,18 +83,32 @@ class Model:
             return cache[name]
         return object.__getattribute__(self, name)
 
+    @cached_property
+    def turns(self) -> DataFrame:
+        """The conversations, and the questions of the customers' log."""
+        from churnlens.sources.logs import turn_log
+        return turn_log(self.t)
+
     @cached_property
     def questions(self) -> DataFrame:
-        """User turns of the conversation log, classified, routed and tagged
-        with the requested metric (H1-H8) — shared by H, F2, G11 and J."""
+        """User turns, classified, routed and tagged with the requested metric (H1-H8) —
+        shared by H, F2, G11 and J."""
         from churnlens.operators.intents import tag_questions
-        return tag_questions(self.t.conversations)
+        return tag_questions(self.turns)
 
     @cached_property
     def answers(self) -> DataFrame:
-        """Assistant/system turns shaped as structured answers (JSON text)."""
+        """Structured answers (JSON text): the customers' log, and assistant/system turns shaped as answers."""
         from churnlens.operators.evaluation import answers
-        return answers(self.t.conversations)
+        from churnlens.sources.logs import answer_log
+        return answers(self.t.conversations).unionByName(answer_log(self.t))
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        """Tool calls with their arguments: those of the questions' nodes, and the customers' log."""
+        from churnlens.operators.evaluation import tool_calls
+        from churnlens.sources.logs import call_log
+        return tool_calls(self.questions).unionByName(call_log(self.t))
 
     @cached_property
     def vector_store(self) -> DataFrame:
