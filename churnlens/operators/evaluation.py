@@ -296,18 +296,3 @@ def tool_calls(q: DataFrame) -> DataFrame:
         F.array(F.get("customer_ids", 0), F.col("segment"), F.col("plan"))), lambda k, v: v.isNotNull())
     return calls.select("conv_id", "turn", F.col("call_order").cast("bigint").alias("call_order"), "tool",
                         args.alias("args"))
-
-
-def tool_result_summary(calls: DataFrame, sample: int = 5) -> DataFrame:
-    """Per tool the call count and the first ``sample`` question ids.
-    The sample is bounded with a per-tool row_number (WindowGroupLimit keeps
-    at most ``sample`` rows per map task for a hot tool), then collected."""
-    keyed = calls.select("tool", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-                         .alias("question_id"), "conv_id", "turn")
-    counts = keyed.groupBy("tool").agg(F.count(F.lit(1)).alias("row_count"))
-    w = Window.partitionBy("tool").orderBy("conv_id", "turn")
-    top = keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= sample)
-    samples = top.groupBy("tool").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "question_id"))),
-                                 lambda s: s["question_id"]), "|").alias("sample"))
-    return counts.join(samples, "tool")

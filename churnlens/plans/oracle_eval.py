@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from churnlens.functions import lexicons as L
-from churnlens.sources import logs
+from churnlens.plans.oracle_calls import call_sqls
 from churnlens.plans.oracle_sql import _lit_list, answers_sql, intents_sql
+from churnlens.sources import logs
 
 METRIC_COLS = ["routing", "intent_ok", "entities", "tools", "retrieval", "citations", "render", "recommendations",
                "prioritization", "irrelevant_ok", "confidence_ok"]
@@ -32,7 +33,7 @@ def _calls() -> str:
             f"unnest(coalesce({tm}[routed_node], [])) as tool, {keys} as keys, {own} as args from h3")
 
 
-def eval_sqls() -> dict[str, str]:
+def eval_sqls(risk_sql: str) -> dict[str, str]:
     tm = _tools_map()
     blob = ("lower(coalesce(summary, '') || ' ' || array_to_string(list_transform(coalesce(facts, []), "
             "lambda s: coalesce(s.content, '')), ' '))")
@@ -92,9 +93,7 @@ m AS (select conv_id, turn,
         f"select cast(conv_id as varchar) || '-' || cast(turn as varchar) as trace_id, "
         f"cast({words} as bigint) as input_tokens, cast(0 as bigint) as output_tokens, cast(1 as bigint) as requests "
         "from h3")
-    out["tool_result_summary"] = head + (
-        "select tool, count(*) as row_count, array_to_string(list(cast(conv_id as varchar) || '-' || "
-        f"cast(turn as varchar) order by conv_id, turn)[1:5], '|') as sample from ({_calls()}) c group by tool")
+    out |= call_sqls(head, _calls(), risk_sql)
     out["guard_tool_calls"] = head + tool_calls_body()
     return out
 
