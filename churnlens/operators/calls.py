@@ -48,11 +48,11 @@ def requests(calls: DataFrame) -> DataFrame:
 
 def _of(reqs: DataFrame, tool: str, *params: str) -> DataFrame:
     """request, the parameters (``p_`` names, null if missing or blank) and ``n``, the limit."""
-    given = F.least(F.col("args")["limit"].cast("int"), F.lit(MOST_ROWS))
     default = DEFAULT_LIMIT.get(tool)
+    given = F.coalesce(F.col("args")["limit"].cast("int"), F.lit(default))
     return reqs.where(F.col("tool") == tool).select(
         "request", *[F.nullif(F.trim(F.col("args")[p]), F.lit("")).alias(f"p_{p}") for p in params],
-        (F.coalesce(given, F.lit(default)) if default else F.lit(None).cast("int")).alias("n"))
+        (F.least(given, F.lit(MOST_ROWS)) if default else F.lit(None).cast("int")).alias("n"))
 
 
 def _line(*cols: str | Column) -> Column:
@@ -139,10 +139,10 @@ def _usage_change(m, reqs):
         use, F.lower("p_segment") == F.lower("customer_segment"))
     each = _ranked(one.unionByName(some).select("request", "customer_id", line, F.col("customer_id").alias("ref")),
                    [F.asc("customer_id")], False)
-    # neither: one row of totals, read for each such request
-    total = insights.usage_change_total(m).select(F.lit(ANY).alias("all"), _line(
+    # neither: one row of totals for each such request
+    total = insights.usage_change_total(m).select(_line(
         "customers", "sessions_last_4_weeks", "sessions_previous_4_weeks", "errors_total", "customers_with_sessions_decline"))
-    every = r.where("p_customer_id is null and p_segment is null").withColumn("all", F.lit(ANY)).join(F.broadcast(total), "all")
+    every = r.where("p_customer_id is null and p_segment is null").withColumn("line", total.scalar())
     return each.unionByName(every.select("request", F.lit(1).alias("pos"), "line", F.lit(None).cast("string").alias("ref")))
 
 
@@ -211,16 +211,15 @@ def _risk(m, reqs):
 
 
 def _named(m, reqs):
-    """Names meet names by their trigrams, so that a request is compared only with customers that share one; a
-    pattern without three plain characters in a row is compared with all customers."""
-    r = _of(reqs, "resolve_customer_name", "name").where("p_name is not null").withColumn("low", F.lower("p_name"))
-    d = m.dimension_customer.select("customer_id", "customer_name", F.lower("customer_name").alias("hay"))
-    plain = F.regexp_extract("low", r"[^%_\\]{3}", 0)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("hay") - 2), lambda i: F.substring(F.col("hay"), i, F.lit(3))))
-    by_gram = d.where(F.length("hay") >= 3).withColumn("gram", F.explode(grams))
-    found = r.withColumn("gram", plain).where("gram <> ''").join(by_gram, "gram").drop("gram")
-    rest = r.withColumn("gram", plain).where("gram = ''").withColumn("all", F.lit(ANY)).join(d.withColumn("all", F.lit(ANY)), "all").drop("gram", "all")
-    rows = found.unionByName(rest).where(F.expr("customer_name ilike concat('%', p_name, '%')")).select(
+    """Names meet names by up to three plain characters in a row of the pattern, so that a request is compared
+    only with customers that hold them; customers stand under all their runs of that length, and under the empty one."""
+    r = _of(reqs, "resolve_customer_name", "name").where("p_name is not null")
+    r = r.withColumn("gram", F.regexp_extract(F.lower("p_name"), r"[^%_\\]{1,3}", 0))
+    low = F.lower("customer_name")
+    runs = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(low) - k + 1, F.lit(1))), lambda i: F.substring(low, i, k)))
+    d = m.dimension_customer.select("customer_id", "customer_name", F.explode(F.array_distinct(F.flatten(runs))).alias("gram"))
+    rows = r.join(d, "gram").where(F.expr("customer_name ilike concat('%', p_name, '%')")).select(
         "request", "n", "customer_id", _line("customer_id", "customer_name"), F.col("customer_id").alias("ref"))
     return _ranked(rows, [F.asc("customer_id")], True)
 

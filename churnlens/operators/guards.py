@@ -44,25 +44,33 @@ def _matched(text: Column, patterns: list[str]) -> Column:
                     lambda x: x.isNotNull())
 
 
-def _any(patterns: list[str]) -> str:
-    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+def first_characters(pattern: str) -> set[str]:
+    """The characters that a match can start with. A pattern starts with a plain character, or with a
+    group of alternatives that each do."""
+    starts = pattern[1:pattern.index(")")].split("|") if pattern.startswith("(") else [pattern]
+    if not all(s and (s[0].isalnum() or s[0] in "<>#@ ") for s in starts):
+        raise ValueError(f"no plain first character: {pattern}")
+    return {c for s in starts for c in (s[0].lower(), s[0].upper())}
+
+
+def any_of(patterns: list[str]) -> str:
+    """One pattern that matches where any of them does. The engine tries the alternatives only at a
+    character that one of them can start with."""
+    first = "".join(sorted(set().union(*map(first_characters, patterns))))
+    return f"(?i)(?=[{first}])(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
 
 
 def with_injection_matches(df: DataFrame, text: str = "text") -> DataFrame:
     """Matched pattern lists as materialised columns ``_inj_high``/``_inj_sus``.
 
-    One alternation pass per list decides whether any pattern matches; the
-    per-pattern scan (needed only for the detail) runs on the rare texts that
-    match. The separate projections keep each regex evaluated once per row."""
-    t = F.col(text)
-    flagged = df.select("*", t.rlike(_any(L.INJECTION_HIGH)).alias("_any_high"),
-                        t.rlike(_any(L.INJECTION_SUSPICIOUS)).alias("_any_sus"))
-    empty = F.array().cast("array<string>")
-    return flagged.select(
-        *df.columns,
-        F.when(F.col("_any_high"), _matched(t, L.INJECTION_HIGH)).otherwise(empty).alias("_inj_high"),
-        F.when(F.col("_any_sus") & ~F.col("_any_high"), _matched(t, L.INJECTION_SUSPICIOUS))
-        .otherwise(empty).alias("_inj_sus"))
+    One pass over the text decides whether any pattern of either list matches; the lists themselves (for
+    severity and detail) are tried on the rare texts where one does. The separate projections keep each
+    regex evaluated once per row."""
+    t, empty = F.col(text), F.array().cast("array<string>")
+    flagged = df.select("*", t.rlike(any_of(L.INJECTION_HIGH + L.INJECTION_SUSPICIOUS)).alias("_any"))
+    high = flagged.select("*", F.when(F.col("_any"), _matched(t, L.INJECTION_HIGH)).otherwise(empty).alias("_inj_high"))
+    sus = F.when(F.col("_any") & (F.size("_inj_high") == 0), _matched(t, L.INJECTION_SUSPICIOUS)).otherwise(empty)
+    return high.select(*df.columns, "_inj_high", sus.alias("_inj_sus"))
 
 
 def injection_result(high: Column, sus: Column) -> Column:
@@ -86,15 +94,7 @@ def prompt_injection_df(df: DataFrame, text: str = "text", keys: list[str] | Non
 
 def prompt_injection(text: Column) -> Column:
     """Any high-confidence pattern blocks; else any suspicious one flags."""
-    high, sus = _matched(text, L.INJECTION_HIGH), _matched(text, L.INJECTION_SUSPICIOUS)
-    is_high, is_sus = F.size(high) > 0, F.size(sus) > 0
-    return result(~(is_high | is_sus),
-                  F.when(is_high, "block").when(is_sus, "flag").otherwise("pass"), "prompt_injection",
-                  F.when(is_high, F.lit("Prompt-injection pattern detected."))
-                  .when(is_sus, F.lit("Suspicious prompt-injection pattern."))
-                  .otherwise(F.lit("No injection patterns detected.")),
-                  F.when(is_high, F.concat(F.lit("high_confidence="), F.array_join(high, "|")))
-                  .when(is_sus, F.concat(F.lit("suspicious="), F.array_join(sus, "|"))))
+    return injection_result(_matched(text, L.INJECTION_HIGH), _matched(text, L.INJECTION_SUSPICIOUS))
 
 
 def moderation(verdict: Column, enabled: bool = True, model: str = "labels.toxic") -> Column:

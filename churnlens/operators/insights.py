@@ -151,14 +151,14 @@ def customer_feedback(m, customer_id: str | None = None, limit: int = 20) -> Dat
     f = m.fact_feedback
     if customer_id is not None:
         f = f.filter(F.col("customer_id") == customer_id)
-    t = m.aggregate_theme.select("feedback_id", "theme", "sentiment")
+    t = m.aggregate_theme.select("feedback_id", "theme", "sentiment", F.col("source").alias("_source"))
     j = f.join(t, "feedback_id", "left").select(
         "customer_id", "feedback_id", "created_at", "feedback_text", "feedback_source", "rating", "theme",
-        "sentiment")
-    order = [F.desc("created_at"), F.asc("feedback_id")]
+        "sentiment", "_source")
+    order = [F.desc("created_at"), F.asc("feedback_id"), F.asc_nulls_last("_source")]
     if customer_id is not None:
-        return j.orderBy(*order).limit(limit)
-    return top_n_per_key(j, "customer_id", order, limit)
+        return j.orderBy(*order).limit(limit).drop("_source")
+    return top_n_per_key(j, "customer_id", order, limit).drop("_source")
 
 
 def feedback_themes(m, min_count: int = 1, segment: str | None = None) -> DataFrame:

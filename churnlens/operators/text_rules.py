@@ -17,21 +17,24 @@ def theme_rule_sql(text: Column) -> Column:
 
 def sentiment_rule_sql(text: Column) -> Column:
     """C4: positive words first, then negative, else neutral."""
-    low = F.lower(text)
+    return _sentiment_sql(F.lower(text))
+
+
+def _sentiment_sql(low: Column) -> Column:
     return (F.when(low.rlike(SENTIMENT_SQL_POSITIVE), "positive")
             .when(low.rlike(SENTIMENT_SQL_NEGATIVE), "negative").otherwise("neutral"))
 
 
-def theme_rule_enriched(text: Column) -> Column:
-    """Same lexicon with 'itemized' in billing; empty/NULL -> other."""
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("other")).otherwise(
-        first_match(F.lower(text), THEMES_ENRICHED, "other"))
+def theme_rule_enriched(text: Column, low: Column | None = None) -> Column:
+    """Same lexicon with 'itemized' in billing; empty/NULL -> other. ``low``: the text in lower case, if at hand."""
+    low = F.lower(text) if low is None else low
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("other")).otherwise(first_match(low, THEMES_ENRICHED, "other"))
 
 
-def sentiment_rule_enriched(text: Column, rating: Column) -> Column:
+def sentiment_rule_enriched(text: Column, rating: Column, low: Column | None = None) -> Column:
     """Keywords first (pos only / neg only / both -> mixed); else the rating
     (<=2 negative, >=4 positive, else neutral); NULL rating -> neutral."""
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     has_text = F.coalesce(text, F.lit("")) != ""
     pos = has_text & low.rlike(SENTIMENT_POSITIVE)
     neg = has_text & low.rlike(SENTIMENT_NEGATIVE)
@@ -43,19 +46,21 @@ def sentiment_rule_enriched(text: Column, rating: Column) -> Column:
 
 def theme_rule_sql_table(fact_feedback: DataFrame) -> DataFrame:
     """aggregate_theme seed (source='rule') from the SQL lexicon."""
-    text = F.col("feedback_text")
-    return fact_feedback.select("feedback_id", "customer_id", "created_at", text.alias("text"),
-                                theme_rule_sql(text).alias("theme"), sentiment_rule_sql(text).alias("sentiment"),
-                                F.lit("rule").alias("source"))
+    low = F.col("_low")
+    rows = fact_feedback.select("feedback_id", "customer_id", "created_at", F.col("feedback_text").alias("text"),
+                                F.lower("feedback_text").alias("_low"))
+    return rows.select("feedback_id", "customer_id", "created_at", "text", first_match(low, THEMES_SQL, "other").alias("theme"),
+                       _sentiment_sql(low).alias("sentiment"), F.lit("rule").alias("source"))
 
 
 def theme_rule_enriched_table(fact_feedback: DataFrame) -> DataFrame:
     """Enrichment pass (source='rule') from the larger lexicon."""
-    text = F.col("feedback_text")
-    return fact_feedback.select("feedback_id", "customer_id", "created_at", text.alias("text"),
-                                theme_rule_enriched(text).alias("theme"),
-                                sentiment_rule_enriched(text, F.col("rating")).alias("sentiment"),
-                                F.lit("rule").alias("source"))
+    text, low = F.col("text"), F.col("_low")
+    # lower-cased once, in a projection of its own: ten patterns read it
+    rows = fact_feedback.select("feedback_id", "customer_id", "created_at", F.col("feedback_text").alias("text"), "rating",
+                                F.lower("feedback_text").alias("_low"))
+    return rows.select("feedback_id", "customer_id", "created_at", "text", theme_rule_enriched(text, low).alias("theme"),
+                       sentiment_rule_enriched(text, F.col("rating"), low).alias("sentiment"), F.lit("rule").alias("source"))
 
 
 def theme_overlay_refresh(existing: DataFrame, fresh_rule_rows: DataFrame) -> DataFrame:

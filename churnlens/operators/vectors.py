@@ -18,6 +18,7 @@ the shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -140,14 +141,27 @@ def embed_with_model(chunks: DataFrame, encode, dim: int, model: str) -> DataFra
                       F.col("_e.embedding").isNotNull().alias("embedded_ok"))
 
 
+#: the start of the source hash: 4096 partitions of a large store
+HASH_PART = "hash_part"
+
+
+def hash_part() -> Column:
+    return F.substring("source_hash", 1, 3)
+
+
 # -- D5, D6: incremental sync ---------------------------------------------------------------
 def sync_delta(chunks: DataFrame, store: DataFrame | None, force: bool = False) -> DataFrame:
     """Chunks whose hash is not stored yet (``force`` takes all). A left
     anti join on the hash: the store side is shuffled (or broadcast by AQE when
-    small) once; nothing is collected into a Python set."""
+    small) once; nothing is collected into a Python set. Of a store that is partitioned by HASH_PART only the
+    partitions are read whose hashes occur among the chunks, so a small batch reads a small part of it."""
     c = with_hash(chunks) if "source_hash" not in chunks.columns else chunks
     if force or store is None:
         return c
+    if HASH_PART in store.columns:
+        # there are 4096 of them at most
+        found = [r[0] for r in c.select(hash_part().alias("p")).distinct().collect()]
+        store = store.where(F.col(HASH_PART).isin(found))
     return c.join(store.select("source_hash").distinct(), "source_hash", "left_anti")
 
 
@@ -261,7 +275,8 @@ def source_refs(results: DataFrame) -> DataFrame:
 
 
 # -- D8/D9 over dense vectors: nearest vectors to each label's centroid -----------------------
-QUERY_BLOCK = 512
+#: queries that are sent to all tasks at a time: 4096 vectors of 1,000 numbers are 32 MB
+QUERY_BLOCK = 4096
 
 
 def label_centroids(vectors: DataFrame, key: str = "label", vec: str = "embedding") -> DataFrame:
@@ -287,22 +302,31 @@ def _unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
-def _nearest(k: int):
-    def run(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in pairs:
-            for block, rows in batch.groupby("qblock", sort=False):
-                del block
-                queries = rows["queries"].iloc[0]
-                q, q_has = _unit_rows([x["qv"] for x in queries])
-                v, v_has = _unit_rows(rows["vec"].tolist())
-                width = max(q.shape[1], v.shape[1])
-                q, v = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, v))
-                scores = np.where(q_has[:, None] & v_has[None, :], q @ v.T, -np.inf)
-                ids = rows["id"].to_numpy()
-                for i, x in enumerate(queries):
-                    order = np.lexsort((ids, -scores[i]))[:k]
-                    yield pd.DataFrame({"query_key": [x["qk"]] * len(order), "id": ids[order],
-                                        "score": [None if np.isinf(s) else float(s) for s in scores[i, order]]})
+def _nearest(keys: list, queries: list, k: int):
+    """The k best of a whole partition per query; ties go to the smaller id, rows without a score come last."""
+    q, q_has = _unit_rows(queries)
+
+    def best(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.stack([np.lexsort((i, -s))[:k] for s, i in zip(scores, ids, strict=True)])
+        return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top = None
+        for batch in batches:
+            if batch.empty:
+                continue
+            v, v_has = _unit_rows(batch["vec"].tolist())
+            width = max(q.shape[1], v.shape[1])
+            left, right = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, v))
+            scores = np.where(q_has[:, None] & v_has[None, :], left @ right.T, -np.inf)
+            ids = np.broadcast_to(batch["id"].to_numpy(), scores.shape)
+            if top is not None:
+                scores, ids = np.concatenate([top[0], scores], 1), np.concatenate([top[1], ids], 1)
+            top = best(scores, ids)
+        if top is not None:
+            n = top[0].shape[1]
+            yield pd.DataFrame({"query_key": [x for x in keys for _ in range(n)], "id": top[1].ravel(),
+                                "score": [None if np.isinf(s) else float(s) for s in top[0].ravel()]})
     return run
 
 
@@ -310,19 +334,17 @@ def nearest_to_queries(vectors: DataFrame, queries: DataFrame, qkey: str, k: int
                        vec: str = "embedding") -> DataFrame:
     """Top-k vectors per query by cosine (NULL, and last, for a zero or missing vector).
 
-    Queries travel in blocks of about QUERY_BLOCK, each a row of one table that is joined to
-    the vectors by block number; the planner broadcasts it while it is small. An Arrow batch
-    of vectors then meets a block in one matrix product and hands on its k best per query,
-    so at most k rows per query and batch leave the step, not the pairs."""
-    # two blocks at least: with one, the key is a constant, and the planner makes the join a cross join
-    n = max(-(-queries.count() // QUERY_BLOCK), 2)
+    Queries go to the tasks QUERY_BLOCK at a time, which bounds what is broadcast; each block is a pass over the vectors
+    where they stand. A task hands on its k best per query, so no vector crosses an exchange and at most k
+    narrow rows per query and task do."""
     qtype, idtype = queries.schema[qkey].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
-    blocks = queries.withColumn("qblock", F.pmod(F.xxhash64(qkey, "centroid"), F.lit(n)).cast("int")).groupBy("qblock").agg(
-        F.collect_list(F.struct(F.col(qkey).alias("qk"), F.col("centroid").alias("qv"))).alias("queries"))
-    each = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"),
-                          F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qblock"))
-    near = each.join(blocks, "qblock").select("qblock", "id", "vec", "queries").mapInPandas(
-        _nearest(k), f"query_key {qtype}, id {idtype}, score double")
+    schema = f"query_key {qtype}, id {idtype}, score double"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
+    near = vectors.sparkSession.createDataFrame([], schema)
+    asked = iter(queries.select(F.col(qkey).alias("qk"), F.col("centroid").alias("qv")).toLocalIterator())
+    while block := list(islice(asked, QUERY_BLOCK)):
+        search = _nearest([r.qk for r in block], [r.qv for r in block], k)
+        near = near.unionByName(rows.mapInPandas(search, schema))
     w = Window.partitionBy("query_key").orderBy(F.desc_nulls_last("score"), F.asc("id"))
     return near.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k).select(
         "query_key", F.col("id").alias(id_col), "score", "rank")

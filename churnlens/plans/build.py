@@ -13,9 +13,11 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from churnlens.session import scratch_path
 from churnlens.sources import files
+from churnlens.sources.snapshots import WHOLE, Snapshots
 from churnlens.sources.tables import WAREHOUSE_CONF, WAREHOUSE_SOURCE_CONF, WAREHOUSE_TABLES, Model, source_mark
 
 CLUSTER = {"fact_ticket": ("customer_id", "created_at", "ticket_id"),
@@ -35,16 +37,24 @@ STAGES = (
 )
 
 
+# tables whose rows come from several sources: each is a part that is rebuilt alone, and parts of sources
+# that the build doesn't know stay
+SOURCES = {"aggregate_theme": ("rule", "llm")}
+
+
 def _write(df: DataFrame, path: str, name: str) -> None:
-    if name not in CLUSTER:
-        files.overwrite_table(df, f"{path}/{name}")
-        return
-    staged = f"{path}/_staged/{name}"
-    files.overwrite_table(df, staged)
-    keys = CLUSTER[name]
-    written = df.sparkSession.read.parquet(staged)
-    files.overwrite_table(written.repartitionByRange(*keys).sortWithinPartitions(*keys), f"{path}/{name}")
-    files.remove(df.sparkSession, staged)
+    table = Snapshots(df.sparkSession, f"{path}/{name}")
+    for source in SOURCES.get(name, (WHOLE,)):
+        rows = df if source == WHOLE else df.where(F.col("source") == source)
+        if name in CLUSTER:
+            staged = files.unique_path(f"{path}/_staged", name)
+            files.overwrite_table(rows, staged)
+            keys = CLUSTER[name]
+            written = df.sparkSession.read.parquet(staged)
+            table.replace_part(written.repartitionByRange(*keys).sortWithinPartitions(*keys), source)
+            files.remove(df.sparkSession, staged)
+        else:
+            table.replace_part(rows, source)
 
 
 def build_warehouse(spark: SparkSession, sf_dir: str, path: str | None = None, register: bool = True) -> str:

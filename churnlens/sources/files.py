@@ -62,16 +62,26 @@ def _file_system(spark: SparkSession, path: str):
 def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
     """A4: idempotent rebuild that replaces the whole table. The new files are written
     beside the old table and take its place only once the write has succeeded, so a failed
-    rebuild leaves the old table, and partitions that the new data lack are gone."""
+    rebuild leaves the old table, and partitions that the new data lack are gone. The old table is moved aside and
+    removed last: a crash between the two moves loses nothing, but leaves no table at ``path``. Tables that
+    are served while they are rebuilt are snapshots instead (snapshots.py)."""
     new = unique_path(path.rstrip("/") + "-next", "v")
     w = df.write.partitionBy(*partition_by) if partition_by else df.write
     w.parquet(new)
     fs, target = _file_system(df.sparkSession, path)
     _, fresh = _file_system(df.sparkSession, new)
+    old = None
     if fs.exists(target):
-        fs.delete(target, True)
+        _, old = _file_system(df.sparkSession, unique_path(path.rstrip("/") + "-previous", "v"))
+        fs.mkdirs(old.getParent())
+        if not fs.rename(target, old):
+            raise OSError(f"{path} could not be moved aside")
     if not fs.rename(fresh, target):
+        if old is not None:
+            fs.rename(old, target)
         raise OSError(f"{new} could not take the place of {path}")
+    if old is not None:
+        fs.delete(old, True)
     return path
 
 

@@ -212,6 +212,16 @@ def call_log(t: Tables) -> DataFrame:
                              F.lit(100).cast("bigint").alias("call_order"), tool.alias("tool"), out.alias("args"))
 
 
+def theme_overlays(t: Tables, fact_feedback: DataFrame) -> DataFrame:
+    """Theme rows of another source ('llm'), derived from the labels: labelled feedback is abusive or spam."""
+    lab = t.labels.where((F.col("toxic") == 1) | (F.col("quality") == 0)).select(
+        F.concat(F.lit("FDB-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("feedback_id"),
+        F.when(F.col("toxic") == 1, "abuse").otherwise("spam").alias("theme"))
+    f = fact_feedback.select("feedback_id", "customer_id", "created_at", F.col("feedback_text").alias("text"))
+    return f.join(lab, "feedback_id").select("feedback_id", "customer_id", "created_at", "text", "theme",
+                                             F.lit("negative").alias("sentiment"), F.lit("llm").alias("source"))
+
+
 # -- the same logs as DuckDB SQL ------------------------------------------------------------------
 _CUSTOMERS = (f"(select c_custkey, c_name, c_mktsegment, -1 - c_custkey as conv_id, cast(unnest({list(TURNS)}) as bigint) as turn "
               "from customer)")

@@ -7,6 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from churnlens.sources.snapshots import Snapshots
+
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -79,7 +81,7 @@ class Model:
         if name in stored:
             cache = object.__getattribute__(self, "__dict__")
             if name not in cache:
-                cache[name] = object.__getattribute__(self, "spark").read.parquet(stored[name])
+                cache[name] = Snapshots(object.__getattribute__(self, "spark"), stored[name]).read()
             return cache[name]
         return object.__getattribute__(self, name)
 
@@ -211,10 +213,23 @@ class Model:
         return fact_subscription_event(self.clean_subs)
 
     @cached_property
-    def aggregate_theme(self) -> DataFrame:
+    def theme_seed(self) -> DataFrame:
+        """The rule rows that cleansing makes."""
         from churnlens.operators.text_rules import theme_rule_sql_table
         return theme_rule_sql_table(self.fact_feedback)
 
+    @cached_property
+    def theme_overlays(self) -> DataFrame:
+        from churnlens.sources.logs import theme_overlays
+        return theme_overlays(self.t, self.fact_feedback)
+
+    @cached_property
+    def aggregate_theme(self) -> DataFrame:
+        """The served themes: the seed with its rule rows refreshed by the enrichment, other sources kept."""
+        from churnlens.operators.text_rules import theme_overlay_refresh, theme_rule_enriched_table
+        return theme_overlay_refresh(self.theme_seed.unionByName(self.theme_overlays),
+                                     theme_rule_enriched_table(self.fact_feedback))
+
     @cached_property
     def customer_features(self) -> DataFrame:
         from churnlens.operators.features import customer_features

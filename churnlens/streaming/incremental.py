@@ -53,7 +53,9 @@ def start_embedding_sync(spark: SparkSession, chunk_dir: str, store_dir: str, ch
             store = spark.read.parquet(store_dir).where(
                 ~((F.col("query_id") == query) & (F.col("batch_id") == batch_id)))
         delta = vectors.sync_delta(vectors.with_hash(batch).dropDuplicates(["source_hash"]), store)
-        vectors.store_rows(vectors.embed(delta, dim=dim)).write.mode("overwrite").parquet(folder)
+        rows = vectors.store_rows(vectors.embed(delta, dim=dim)).withColumn(vectors.HASH_PART, vectors.hash_part())
+        # one file per partition of the hash, whatever the number of tasks
+        rows.repartition(vectors.HASH_PART).write.mode("overwrite").partitionBy(vectors.HASH_PART).parquet(folder)
 
     w = chunks.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -27,11 +27,13 @@ def test_warehouse_matches_raw(spark):
 
 
 def test_a_changed_source_is_not_served_from_an_old_warehouse(spark, tmp_path):
+    import os
     import shutil
 
     from churnlens.sources.tables import source_mark, warehouse_for
     copy = str(tmp_path / "sf")
     shutil.copytree(SF, copy)
+    os.chmod(copy, 0o755)  # the test data folder is read-only, and its mode is copied
     spark.conf.set(WAREHOUSE_CONF, "/somewhere")
     spark.conf.set(WAREHOUSE_SOURCE_CONF, source_mark(spark, copy))
     try:
