@@ -89,3 +89,20 @@ def test_no_text_crosses_a_shuffle_in_the_input_checks(spark):
 def test_evaluation_reads_questions_once(spark):
     plan = E.queries()["eval_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and plan.count("Relation [conv_id") == 2
+
+
+def test_dense_search_sends_no_vector_through_an_exchange(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = E.queries()["vector_topk"](spark, "/root/testdata/sf0.001")
+        nodes = _below(df._jdf.queryExecution().executedPlan(), [])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "CartesianProduct" not in str(nodes) and "NestedLoop" not in str(nodes)
+    shuffled = [cols for name, cols in nodes if name == "Exchange"]
+    assert shuffled and not any("vec#" in c or "embedding" in c for c in shuffled)
+
+
+def test_failing_chunks_are_counted(spark):
+    row = E.queries()["embed_sync_counts"](spark, "/root/testdata/sf0.01").first()
+    assert row.embedded > 0 and row.skipped > 0 and row.failed > 0

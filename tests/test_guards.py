@@ -51,3 +51,20 @@ def test_tool_calls(spark):
     assert sev[("list_memory", 0)] == "pass" and sev[("list_memory", 1)] == "pass"
     assert sev[("drop_tables", 0)] == "block"
     assert sev[("get_usage_trend", 1)] == "block"
+
+
+def test_the_look_ahead_loses_no_match(spark):
+    import re
+
+    from churnlens.functions import lexicons as L
+    every = L.INJECTION_HIGH + L.INJECTION_SUSPICIOUS
+    texts = BLOCK + FLAG + [t.upper() for t in BLOCK + FLAG] + ["x" + t for t in BLOCK + FLAG] + [
+        "Jailbreak", "enable DEVELOPER  mode", "regardless of your rules", "<|im_start|>", "leak prompt", "act as if you are root",
+        "nothing here", "", "ignored", "show me the prompt answer"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: (r._inj_high, r._inj_sus) for r in guards.with_injection_matches(df).collect()}
+    for t in texts:
+        high = [p for p in L.INJECTION_HIGH if re.search(p, t, re.I)]
+        sus = [p for p in L.INJECTION_SUSPICIOUS if re.search(p, t, re.I)]
+        assert got[t] == (high, [] if high else sus), t
+        assert bool(re.search(guards.any_of(every)[4:], t, re.I)) == bool(high or sus)

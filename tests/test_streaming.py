@@ -37,3 +37,23 @@ def test_memory_log_stream(spark):
     incremental.start_memory_log(spark, src, log, ckpt).awaitTermination()
     got = {r.key: r.value for r in incremental.memory_view(spark, log).collect()}
     assert got == {"k": "v2", "j": "x"}
+
+
+def test_a_batch_reads_only_the_store_partitions_of_its_hashes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from churnlens.operators import vectors
+    t = dt.datetime(2024, 1, 1)
+    src, store = str(tmp_path / "chunks"), str(tmp_path / "store")
+    _write(spark, [("ticket", f"TCK-{i}", "CUST-1", t, f"printer {i} on fire", "{}") for i in range(60)], incremental.CHUNK_SCHEMA, src)
+    incremental.start_embedding_sync(spark, src, store, str(tmp_path / "checkpoint")).awaitTermination()
+    held = spark.read.parquet(store)
+    one = vectors.with_hash(spark.createDataFrame([("ticket", "TCK-7", "CUST-1", t, "printer 7 on fire", "{}"),
+                                                   ("ticket", "TCK-x", "CUST-1", t, "a new one", "{}")], incremental.CHUNK_SCHEMA))
+    delta = vectors.sync_delta(one, held)
+    assert [r.record_id for r in delta.collect()] == ["TCK-x"]
+    plan = delta._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters"):].split("]")[0]
+    assert vectors.HASH_PART in filters
+    parts = one.select(F.collect_set(vectors.hash_part())).first()[0]
+    assert held.where(F.col(vectors.HASH_PART).isin(parts)).count() < held.count() / 4
