@@ -117,6 +117,24 @@ def table_risk(m) -> DataFrame:
                     F.substring(F.array_join("risk_drivers", ", "), 1, 80).alias("drivers"))
 
 
+def table_usage_change(m) -> DataFrame:
+    """The usage change of the first 10 customers; missing numbers are 0."""
+    z = F.lit(0)
+    u = insights.usage_change(m).orderBy("customer_id").limit(10)
+    return u.select("customer_id", F.coalesce("sessions_last_4_weeks", z).alias("last_4_weeks"),
+                    F.coalesce("sessions_previous_4_weeks", z).alias("previous_4_weeks"),
+                    F.round(F.coalesce("sessions_change_percent", F.lit(0.0)), 1).alias("change_pct"))
+
+
+def cards_revenue(m, segment: str | None = None) -> DataFrame:
+    """KPI cards of the revenue at risk: label and value as shown."""
+    r = insights.revenue_at_risk(m, segment)
+    cards = F.array(F.struct(F.lit("Revenue at risk").alias("label"), F.concat(
+        F.lit("$"), F.format_number(F.bround("revenue_at_risk", 0), 0)).alias("value")),
+        F.struct(F.lit("At-risk customers").alias("label"), F.col("at_risk_customers").cast("string").alias("value")))
+    return r.select(F.explode(cards).alias("c")).select("c.*")
+
+
 def table_tickets(m) -> DataFrame:
     """Recent tickets per customer (10), created_at cut to the date's 10 chars."""
     t = insights.customer_tickets(m, limit=10)

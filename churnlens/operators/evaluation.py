@@ -44,14 +44,26 @@ def questions(conversations: DataFrame) -> DataFrame:
     return intents.route_intent(intents.classify(intents.question_log(conversations)))
 
 
+# price of a token by kind, as the stand-in traces report it
+PRICES = {"input": 3e-6, "cache_read": 3e-7, "cache_write": 4e-6, "output": 1.5e-5}
+
+
 def traces(q: DataFrame, further: list[Column] | None = None) -> DataFrame:
-    """One trace per question: spans array with typed metadata."""
+    """One trace per question: spans array with typed metadata. The reasoning span reports its tokens (a word
+    is one, and a later question finds half of its words cached), cost, requests and tool calls."""
     ents = F.struct(F.col("customer_ids"), F.col("ticket_ids"), F.col("feedback_ids"),
                     F.col("segment"), F.col("plan"))
     n_words = F.size(F.split(F.trim(F.col("text")), r"\s+"))
+    cached = F.when(F.col("turn") > 0, F.floor(n_words / 2)).otherwise(0).cast("bigint")
+    fresh = n_words.cast("bigint") - cached
+    cost = cached * F.lit(PRICES["cache_read"]) + fresh * F.lit(PRICES["input"] + PRICES["cache_write"])
 
     def span(name, kind, started, latency, intent=None, node=None, tools=None, entities=None,
-             used_llm=None, tin=None, tout=None):
+             used_llm=None, tin=None, tout=None, usage=None):
+        usage = usage or {}
+
+        def given(field, kind):
+            return (usage[field] if field in usage else F.lit(None)).cast(kind).alias(field)
         null_ents = F.lit(None).cast("struct<customer_ids:array<string>,ticket_ids:array<string>,"
                                      "feedback_ids:array<string>,segment:string,plan:string>")
         meta = F.struct(
@@ -61,7 +73,9 @@ def traces(q: DataFrame, further: list[Column] | None = None) -> DataFrame:
             (entities if entities is not None else null_ents).alias("entities"),
             (used_llm if used_llm is not None else F.lit(None).cast("boolean")).alias("used_llm"),
             (tin if tin is not None else F.lit(None).cast("bigint")).alias("input_tokens"),
-            (tout if tout is not None else F.lit(None).cast("bigint")).alias("output_tokens"))
+            (tout if tout is not None else F.lit(None).cast("bigint")).alias("output_tokens"),
+            given("cache_read_tokens", "bigint"), given("cache_write_tokens", "bigint"), given("cost", "double"),
+            given("requests", "bigint"), given("tool_calls", "bigint"))
         label = name if isinstance(name, Column) else F.lit(name)
         start, end = started.cast("double"), started.cast("double") + latency.cast("double") / 1000
         return F.struct(label.alias("name"), F.lit(kind).alias("kind"), F.lit("ok").alias("status"),
@@ -76,7 +90,9 @@ def traces(q: DataFrame, further: list[Column] | None = None) -> DataFrame:
         span(F.concat(F.lit("node:"), F.col("routed_node")), "node", t0 + 0.2, F.size(node_tools()) * 1.5,
              node=F.col("routed_node"), tools=node_tools()),
         span("reason", "llm", t0 + 0.3, n_words * 0.25, used_llm=F.lit(False), tin=n_words.cast("bigint"),
-             tout=F.lit(0).cast("bigint")),
+             tout=F.lit(0).cast("bigint"),
+             usage={"cache_read_tokens": cached, "cache_write_tokens": fresh, "cost": cost, "requests": F.lit(1),
+                    "tool_calls": F.size(node_tools())}),
     )
     return q.select("conv_id", "turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
                     .alias("trace_id"), F.col("text").alias("question"), spans.alias("spans"), *(further or []))
@@ -275,16 +291,16 @@ def trace_latency(t: DataFrame) -> DataFrame:
 
 
 def trace_token_usage(t: DataFrame) -> DataFrame:
-    """Tokens in/out and request count over reasoning spans, per trace."""
+    """Tokens by kind, cost, requests and tool calls over the reasoning spans, per trace."""
     reason = F.filter("spans", lambda s: s["name"] == "reason")
 
-    def total(field):
-        return F.aggregate(reason, F.lit(0).cast("bigint"),
-                           lambda acc, s: acc + F.coalesce(s["metadata"][field], F.lit(0).cast("bigint")))
+    def total(field, kind="bigint"):
+        return F.aggregate(reason, F.lit(0).cast(kind),
+                           lambda acc, s: acc + F.coalesce(s["metadata"][field], F.lit(0).cast(kind))).alias(field)
 
     # one trace per row: a row-local fold, no shuffle
-    return t.select("trace_id", total("input_tokens").alias("input_tokens"),
-                    total("output_tokens").alias("output_tokens"), F.size(reason).cast("bigint").alias("requests"))
+    return t.select("trace_id", *[total(f) for f in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens",
+                                                     "requests", "tool_calls")], total("cost", "double"))
 
 
 def tool_calls(q: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from churnlens.functions import lexicons as L
+from churnlens.operators.evaluation import PRICES
 from churnlens.plans.oracle_calls import call_sqls
 from churnlens.plans.oracle_sql import _lit_list, answers_sql, intents_sql
 from churnlens.sources import logs
@@ -84,6 +85,7 @@ m AS (select conv_id, turn,
         f"as metric_rate from ({pq}) p")
     out |= golden_sqls()
     words = "len(string_split_regex(trim(text), '\\s+'))"
+    cached = f"(CASE WHEN turn > 0 THEN {words} // 2 ELSE 0 END)"
     head = _head(False)
     out["trace_latency"] = head + (
         "select cast(conv_id as varchar) || '-' || cast(turn as varchar) as trace_id, "
@@ -91,8 +93,11 @@ m AS (select conv_id, turn,
         "as total_latency_ms, 4 as span_count from h3")
     out["trace_token_usage"] = head + (
         f"select cast(conv_id as varchar) || '-' || cast(turn as varchar) as trace_id, "
-        f"cast({words} as bigint) as input_tokens, cast(0 as bigint) as output_tokens, cast(1 as bigint) as requests "
-        "from h3")
+        f"cast({words} as bigint) as input_tokens, cast(0 as bigint) as output_tokens, cast(1 as bigint) as requests, "
+        f"cast({cached} as bigint) as cache_read_tokens, cast({words} - {cached} as bigint) as cache_write_tokens, "
+        f"cast(len(coalesce({tm}[routed_node], [])) as bigint) as tool_calls, "
+        f"{cached} * {PRICES['cache_read']!r}::double + ({words} - {cached}) * {PRICES['input'] + PRICES['cache_write']!r}::double "
+        "as cost from h3")
     out |= call_sqls(head, _calls(), risk_sql)
     out["guard_tool_calls"] = head + tool_calls_body()
     return out
