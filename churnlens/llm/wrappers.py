@@ -4,7 +4,7 @@ A page is a stream of tags and texts. Matching tags nest, so the expression of a
 is held level by level: the expression of an element's content is a sequence of units, each
 one item, an optional item (?), or a repeated group of items (+). There are no
 alternatives (union-free). Two expressions of one host are aligned by their longest common
-subsequence of items, and each mismatch is resolved: a text that differs becomes a slot;
+blocks of items (difflib), and each mismatch is resolved: a text that differs becomes a slot;
 an item that only one side has becomes optional; an item that comes again makes a
 repeated group of all from its first to its last place. Within a level each item
 then stands once, so a wrapper's size depends on the host's layouts, not on its pages, and
@@ -19,11 +19,12 @@ The content is what stands inside <article> (or main, or role=main), or without
 the body, less the template and less boilerplate elements. The wrapper decides on both,
 inside regions as outside. Template are the texts that are the same on (nearly) all
 different pages of a host with three different pages or more, so none that is optional or
-stands below an optional element. Copies of a page count as one page, pages without text as
-none, and a page of template texts only keeps them. The lists of elements and of words in class, id
-or role only vote for boilerplate: an element that holds most of the host's text in slots
-is kept and read, whatever its name. A host with one or two pages has little
-or no evidence of its own, and there the lists decide.
+stands below an optional element; inside a region headings and other names of what follows stay, though every
+page has them. Copies of a page count as one page, pages without text as
+none, and a page of template texts only keeps them. Boilerplate elements are those of fixed lists of elements and of
+words in class, id or role, which must make up a whole word ("site-header", not "social-science"); a form that holds
+most of the host's text in slots is the page's layout and is read. Text that differs from page to page, reader comments say, is told from
+main text by the lists only, and so is all else on a host with one or two pages.
 
 Rows: null or empty html gives an empty text; pages whose url is null or has no host
 form one host; repeated rows are each returned; an unclosed or truncated page is
@@ -50,7 +51,7 @@ HOSTS_HELD = 2000
 MAX_DEPTH = 100
 #: a constant text on this share of a host's different pages is template: with fewer than 20 pages, on all
 NEARLY_ALL = 0.95
-#: an element that holds this share of a host's characters in slots is main text, whatever the lists say
+#: a form around this share of a host's characters in slots is the page's layout and is read
 MOST = 0.8
 TEXT = "#"
 LEX = re.compile(
@@ -70,6 +71,14 @@ BOILER_WORDS = frozenset(
     "ad ads adv advert advertisement advertising banner promo promotion sponsor sponsored sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs cookie cookies consent notice share sharing social related recommended comment comments disqus "
     "reply replies footer header masthead newsletter subscribe signup popup modal widget toolbar pagination pager login".split())
+# Words that only say where or how large such an element is, so "site-header" names one and "social-science" none
+PLACE_WORDS = frozenset(
+    "area bar block body bottom box button buttons card cell col column container content element fixed float floating form "
+    "global group holder icon icons inner item items label layer layout left line link links list lower main mini mobile "
+    "outer overlay page panel placeholder primary region right row secondary section side site slot small sticky strip tab "
+    "text thread title tool top unit upper view wrap wrapper zone".split())
+# Elements whose text names what follows; it may be the same on every page of a host
+NAMES = frozenset("h1 h2 h3 h4 h5 h6 th dt caption figcaption summary".split())
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
               "th": {"td", "th"}, "option": {"option"}}
 BARRIER = frozenset("ul ol dl table article section div main body".split())
@@ -276,7 +285,14 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 def boilerplate(key: str) -> bool:
     tag, *words = key.split(".")
-    return tag in BOILERPLATE or any(p in BOILER_WORDS for w in words for p in re.split(r"[^a-z]+", w))
+    return tag in BOILERPLATE or any(map(_names_boilerplate, words))
+
+
+@lru_cache(maxsize=4096)
+def _names_boilerplate(word: str) -> bool:
+    """Whether a whole class, id or role word names boilerplate: every part of it must, or say a place."""
+    parts = {p for p in re.split(r"[^a-z]+", word) if p}
+    return not parts.isdisjoint(BOILER_WORDS) and parts <= BOILER_WORDS | PLACE_WORDS
 
 
 def is_region(key: str) -> bool:
@@ -308,11 +324,12 @@ class Wrapper:
         return total
 
     def _left_out(self, key: str, item: list | None) -> bool:
-        """Whether an element is boilerplate: the lists say so, and the wrapper does not find most of the slots in it."""
+        """Whether an element is boilerplate: the lists say so, and it is no form in which the wrapper finds most of the slots."""
         if not boilerplate(key):
             return False
-        most = self.varying[id(self.units)] * MOST
-        return key.split(".")[0] in SILENT or item is None or not 0 < most <= self.varying[id(item[1])]
+        if key != "form" or item is None:
+            return True
+        return not 0 < self.varying[id(self.units)] * MOST <= self.varying[id(item[1])]
 
     def _regions(self, units: list) -> bool:
         return any(key != TEXT and not self._left_out(key, item) and (is_region(key) or self._regions(item[1]))
@@ -339,12 +356,12 @@ class Wrapper:
         blocks: list[list[str]] = [[]]
         regional = self.has_region and self._has_region(root, self.units)  # a page without a region is read like a host without one
 
-        def walk(node: Node, units: list, inside: bool) -> None:
+        def walk(node: Node, units: list, inside: bool, named: bool) -> None:
             known = self.levels.get(id(units), {})
             for child in node.children:
                 if isinstance(child, str):
                     if inside:
-                        template = drop_template and self._template(known.get(TEXT))
+                        template = drop_template and not named and self._template(known.get(TEXT))
                         blocks[-1].append(" " if template else child)
                     continue
                 item = known.get(child.key)
@@ -355,10 +372,11 @@ class Wrapper:
                     blocks.append([])
                 elif child.tag == "br":
                     blocks[-1].append(" ")
-                walk(child, item[1] if item else [], inside or is_region(child.key))
+                within = inside or is_region(child.key)
+                walk(child, item[1] if item else [], within, named or (regional and inside and child.tag in NAMES))
                 if apart:
                     blocks.append([])
-        walk(root, self.units, not regional)
+        walk(root, self.units, not regional, False)
         lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
         return "\n".join(x for x in lines if x)
 

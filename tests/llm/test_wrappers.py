@@ -131,3 +131,20 @@ def test_wrapper_decides_inside_regions(monkeypatch, spark):
         assert got[4 + i] == (f"Long story {i} " * 20).strip()
         assert got[8 + i] == (f"Text {i} " * 20).strip()
         assert got[12 + i] == f"Short {i}"
+
+
+def test_comments_headings_and_whole_words(monkeypatch, spark):
+    remarks = "".join(f"<p>I think {k} {{0}}</p>" for k in range(30))
+    pages = [("http://in.example/", f"<article><p>Short {i}</p><div class=comments>{remarks.format(i)}</div></article>") for i in range(5)]
+    pages += [("http://out.example/", f"<body><p>Short {i}</p><div class=comments>{remarks.format(i)}</div></body>") for i in range(5)]
+    pages += [("http://head.example/", f"<article><h2>Summary</h2><p>Story {i}</p><table><tr><th>Name</th><td>n{i}</td></tr></table></article>")
+              for i in range(5)]
+    pages += [("http://word.example/", f"<article><div class='social-science'>Study {i}</div><p class='notice-period'>Weeks {i}</p>"
+               f"<div class='site-header top'>Menu {i}</div><div id=cookie-banner>Cookies {i}</div><div class=comment-list>So {i}</div></article>")
+              for i in range(5)]
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in run(monkeypatch, table)}
+    for i in range(5):
+        assert got[i] == got[5 + i] == f"Short {i}"
+        assert got[10 + i] == f"Summary\nStory {i}\nName\nn{i}"
+        assert got[15 + i] == f"Study {i}\nWeeks {i}"
