@@ -29,6 +29,8 @@ from churnlens.llm import common
 from churnlens.llm.tokens import default_tokenizer, encoder
 
 MANIFEST = "part bigint, sequences string, documents string, n_documents bigint, n_tokens bigint, n_sequences bigint"
+#: chunks that a writer remembers; it holds no other large state
+CACHE = 800_000
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -87,7 +89,7 @@ class _SequenceWriter:
 def _writer(folder: str, tokenizer: str, end_id: int, length: int, rows: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, CACHE)
         dtype = np.dtype("<u2") if max(enc.vocab_size, end_id + 1) <= 1 << 16 else np.dtype("<u4")
         part = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()

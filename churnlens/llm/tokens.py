@@ -113,6 +113,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker."""
-    return Encoder(path)
+def encoder(path: str, cache_entries: int = 400_000) -> Encoder:
+    """One encoder per Python worker; an entry of the cache takes about 200 bytes."""
+    return Encoder(path, cache_entries)
