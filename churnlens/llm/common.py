@@ -107,6 +107,12 @@ def unnested(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
     return rows.select(*[changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark resolves it, for readers and writers beside Spark."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

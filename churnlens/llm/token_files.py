@@ -120,6 +120,8 @@ def _writer(folder: str, tokenizer: str, end_id: int, length: int, rows: int):
             sink.close()
             index_sink.close()
             for name in names:  # a rename shows whole files only; a second attempt writes the same bytes
+                if fs.get_file_info(name).type != pafs.FileType.NotFound:
+                    fs.delete_file(name)
                 fs.move(f"{name}.{tag}", name)
             row = [[part], [names[0]], [names[1]], [n_docs], [out.n_tokens], [out.n_sequences]]
             yield pa.RecordBatch.from_arrays(
@@ -132,6 +134,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, length: int, rows: int):
 def write_sequences(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2,
                     length: int = 2048, rows_per_batch: int = 64) -> DataFrame:
     """Write the ids of ``docs`` in ascending doc_id order; return the manifest, one row per pair of files."""
+    folder = common.qualified(docs.sparkSession, folder)
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text",
                         # rows of one doc_id can still go to several ranges
                         F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_n"))
@@ -202,6 +205,7 @@ def _digest_documents(folder: str):
 
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     """Read all files back: doc_id, start in the whole id stream, n_tokens, ids_crc32."""
+    folder = common.qualified(manifest.sparkSession, folder)
     # one row per pair of files: the running total runs over the files, not over the documents
     base = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     placed = manifest.withColumn("base", F.coalesce(base, F.lit(0)))

@@ -124,3 +124,10 @@ def test_empty_and_clashing(spark, no_docs, clashing, docs):
     assert packing.pack_documents(clashing).count() == packing.pack_documents(docs).count()
     folder = common.shared_folder(spark, "t")
     assert token_files.read_documents(token_files.write_sequences(clashing, folder), folder).count() == docs.count()
+
+
+def test_a_second_attempt_replaces_the_files_of_the_first(spark, docs, tmp_path):
+    folder = str(tmp_path / "twice")
+    rows = [sorted(map(tuple, token_files.read_documents(token_files.write_sequences(docs, folder), folder).collect()), key=repr)
+            for _ in range(2)]
+    assert rows[0] == rows[1] and not list((tmp_path / "twice").glob("*.arrows.*"))
