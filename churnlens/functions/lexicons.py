@@ -104,6 +104,30 @@ PII_PATTERNS = [
     ("credit_card", r"\b(?:[0-9][ -]*?){13,16}\b"),
 ]
 
+# Messages of the checks (G1-G10), which their readers know; %d is a number, {cap} the limit
+MESSAGES = {
+    "input_ok": "Input is a string.",
+    "input_missing": "Input must be a string (got NoneType).",
+    "length_ok": "Input length %d <= {cap}.",
+    "length_over": "Input too long (%d chars; cap {cap}).",
+    "injection_block": "Prompt-injection pattern detected.",
+    "injection_flag": "Suspicious prompt-injection pattern.",
+    "injection_ok": "No injection patterns detected.",
+    "moderation_off": "Moderation pre-check disabled (MODERATION_ENABLED=false).",
+    "moderation_skipped": "Moderation skipped (unavailable); deterministic checks still apply.",
+    "moderation_block": "Moderation flagged the input as unsafe.",
+    "moderation_ok": "Moderation passed.",
+    "schema_ok": "Answer matches AnswerSchema.",
+    "schema_bad": "Answer failed schema validation: ",
+    "confidence_low": "Insufficient data — confidence forced to low.",
+    "confidence_ok": "Confidence is grounded.",
+    "citations_bad": "Facts section(s) with no record-id citations.",
+    "citations_ok": "All Facts sections cite records.",
+    "pii_bad": "PII pattern detected in answer.",
+    "pii_ok": "No PII patterns detected.",
+    "render_bad": "Unknown render_hint.kind — falling back to markdown.",
+}
+
 # Render kinds, confidence levels
 RENDER_KINDS = ["table", "chart", "qa", "cards", "markdown"]
 CONFIDENCE_LEVELS = ["high", "medium", "low"]

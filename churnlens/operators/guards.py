@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions import lexicons as L
+from churnlens.functions.lexicons import MESSAGES
 
 
 def result(passed: Column, severity: Column, rule: str, message: Column, detail: Column | None = None) -> Column:
@@ -25,7 +26,7 @@ def input_schema(text: Column) -> Column:
     """G1: a missing (non-string) value blocks; the empty string passes."""
     ok = text.isNotNull()
     return result(ok, F.when(ok, "pass").otherwise("block"), "input_schema",
-                  F.when(ok, F.lit("Input is a string.")).otherwise(F.lit("Input must be a string (got NoneType).")),
+                  F.when(ok, F.lit(MESSAGES["input_ok"])).otherwise(F.lit(MESSAGES["input_missing"])),
                   F.when(~ok, F.lit("type=NoneType")))
 
 
@@ -34,8 +35,8 @@ def length_cap(text: Column, max_chars: int = L.MAX_INPUT_CHARS) -> Column:
     n = F.length(text)
     ok = n <= max_chars
     return result(ok, F.when(ok, "pass").otherwise("block"), "length_cap",
-                  F.when(ok, F.format_string(f"Input length %d <= {max_chars}.", n))
-                  .otherwise(F.format_string(f"Input too long (%d chars; cap {max_chars}).", n)),
+                  F.when(ok, F.format_string(MESSAGES["length_ok"].format(cap=max_chars), n))
+                  .otherwise(F.format_string(MESSAGES["length_over"].format(cap=max_chars), n)),
                   F.when(~ok, F.format_string(f"length=%d;cap={max_chars}", n)))
 
 
@@ -78,9 +79,9 @@ def injection_result(high: Column, sus: Column) -> Column:
     is_high, is_sus = F.size(high) > 0, F.size(sus) > 0
     return result(~(is_high | is_sus),
                   F.when(is_high, "block").when(is_sus, "flag").otherwise("pass"), "prompt_injection",
-                  F.when(is_high, F.lit("Prompt-injection pattern detected."))
-                  .when(is_sus, F.lit("Suspicious prompt-injection pattern."))
-                  .otherwise(F.lit("No injection patterns detected.")),
+                  F.when(is_high, F.lit(MESSAGES["injection_block"]))
+                  .when(is_sus, F.lit(MESSAGES["injection_flag"]))
+                  .otherwise(F.lit(MESSAGES["injection_ok"])),
                   F.when(is_high, F.concat(F.lit("high_confidence="), F.array_join(high, "|")))
                   .when(is_sus, F.concat(F.lit("suspicious="), F.array_join(sus, "|"))))
 
@@ -102,13 +103,13 @@ def moderation(verdict: Column, enabled: bool = True, model: str = "labels.toxic
     (scorer unavailable / no label) passes with a 'skipped' message."""
     if not enabled:
         return result(F.lit(True), F.lit("pass"), "moderation",
-                      F.lit("Moderation pre-check disabled (MODERATION_ENABLED=false)."), F.lit("enabled=false"))
+                      F.lit(MESSAGES["moderation_off"]), F.lit("enabled=false"))
     unsafe = F.coalesce(verdict, F.lit(False))
     return result(~unsafe, F.when(unsafe, "block").otherwise("pass"), "moderation",
                   F.when(verdict.isNull(),
-                         F.lit("Moderation skipped (unavailable); deterministic checks still apply."))
-                  .when(unsafe, F.lit("Moderation flagged the input as unsafe."))
-                  .otherwise(F.lit("Moderation passed.")),
+                         F.lit(MESSAGES["moderation_skipped"]))
+                  .when(unsafe, F.lit(MESSAGES["moderation_block"]))
+                  .otherwise(F.lit(MESSAGES["moderation_ok"])),
                   F.when(verdict.isNull(), F.lit("error=no verdict")).otherwise(F.lit("model=" + model)))
 
 
@@ -161,16 +162,16 @@ def answer_schema(a: Column) -> Column:
            .when(~F.coalesce(conf_ok, F.lit(False)), "confidence: Input should be 'high', 'medium' or 'low'")
            .otherwise("render_hint.kind: unknown kind"))
     return result(ok, F.when(ok, "pass").otherwise("flag"), "answer_schema",
-                  F.when(ok, F.lit("Answer matches AnswerSchema."))
-                  .otherwise(F.concat(F.lit("Answer failed schema validation: "), msg, F.lit("."))))
+                  F.when(ok, F.lit(MESSAGES["schema_ok"]))
+                  .otherwise(F.concat(F.lit(MESSAGES["schema_bad"]), msg, F.lit("."))))
 
 
 def confidence(has_sources: Column, has_tool_results: Column) -> Column:
     """No sources and no tool results -> flag, confidence forced to low."""
     bad = ~has_sources & ~has_tool_results
     return result(~bad, F.when(bad, "flag").otherwise("pass"), "confidence",
-                  F.when(bad, F.lit("Insufficient data — confidence forced to low."))
-                  .otherwise(F.lit("Confidence is grounded.")), F.when(bad, F.lit("forced=low")))
+                  F.when(bad, F.lit(MESSAGES["confidence_low"]))
+                  .otherwise(F.lit(MESSAGES["confidence_ok"])), F.when(bad, F.lit("forced=low")))
 
 
 def citations(a: Column) -> Column:
@@ -180,8 +181,8 @@ def citations(a: Column) -> Column:
                           lambda s: s["heading"])
     bad = F.size(uncited) > 0
     return result(~bad, F.when(bad, "flag").otherwise("pass"), "citations",
-                  F.when(bad, F.lit("Facts section(s) with no record-id citations."))
-                  .otherwise(F.lit("All Facts sections cite records.")),
+                  F.when(bad, F.lit(MESSAGES["citations_bad"]))
+                  .otherwise(F.lit(MESSAGES["citations_ok"])),
                   F.when(bad, F.array_join(uncited, "|")))
 
 
@@ -216,7 +217,7 @@ def pii(texts: Column) -> Column:
     detail = F.concat_ws(";", *[F.when(F.size(v) > 0, F.concat(F.lit(k + "="), F.array_join(v, "|")))
                                 for k, v in found.items()])
     return result(~any_hit, F.when(any_hit, "flag").otherwise("pass"), "pii",
-                  F.when(any_hit, F.lit("PII pattern detected in answer.")).otherwise(F.lit("No PII patterns detected.")),
+                  F.when(any_hit, F.lit(MESSAGES["pii_bad"])).otherwise(F.lit(MESSAGES["pii_ok"])),
                   F.when(any_hit, detail))
 
 
@@ -226,7 +227,7 @@ def render_safety(a: Column) -> Column:
     ok = k.isin(L.RENDER_KINDS)
     return result(ok, F.when(ok, "pass").otherwise("flag"), "render_safety",
                   F.when(ok, F.concat(F.lit("render_hint.kind="), k, F.lit(" allowed.")))
-                  .otherwise(F.lit("Unknown render_hint.kind — falling back to markdown.")),
+                  .otherwise(F.lit(MESSAGES["render_bad"])),
                   F.when(~ok, F.concat(F.lit("kind="), k)))
 
 
