@@ -185,8 +185,11 @@ def store_rows(embedded: DataFrame) -> DataFrame:
 
 # -- D8-D11: retrieval ----------------------------------------------------------------------
 def sparse_dot(q: Column, v: Column) -> Column:
-    return F.aggregate(F.map_entries(q), F.lit(0.0),
-                       lambda acc, e: acc + e["value"] * F.coalesce(F.element_at(v, e["key"]), F.lit(0.0)))
+    """Sum over the query's entries; a missing vector scores 0. The vector is named twice, so the optimizer
+    leaves it a column of its own: inlined into the lambda it would be made again for each entry."""
+    dot = F.aggregate(F.map_entries(q), F.lit(0.0),
+                      lambda acc, e: acc + e["value"] * F.coalesce(F.element_at(v, e["key"]), F.lit(0.0)))
+    return F.when(v.isNotNull(), dot).otherwise(F.lit(0.0))
 
 
 def dense_cosine(a: Column, b: Column) -> Column:

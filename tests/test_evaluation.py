@@ -84,3 +84,13 @@ def test_the_report_reads_back_equal(spark, tmp_path):
     assert flat(back) == flat(evaluation.metrics_by_name(per))
     overall = spark.read.json(f"{path}/overall").collect()
     assert len(overall) == 1 and overall[0].questions == back.count()
+
+
+def test_a_scorer_without_a_result_leaves_the_cosine_order(spark):
+    from churnlens.operators import vectors
+    rows = spark.createDataFrame([("ticket", "T1", "a", 0.2), ("ticket", "T2", "b", 0.9), ("feedback", "F1", "c", 0.9)],
+                                 "record_type string, record_id string, text string, score double")
+    got = vectors.rerank(rows, "x", k=3, scorer=lambda q, text: F.lit(None).cast("double")).orderBy("rank").collect()
+    assert [r.record_id for r in got] == ["F1", "T2", "T1"]
+    half = vectors.rerank(rows, "x", k=2, scorer=lambda q, text: F.when(text == "a", 0.5)).orderBy("rank").collect()
+    assert [r.record_id for r in half] == ["T1", "F1"]
