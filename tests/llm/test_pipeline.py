@@ -117,3 +117,22 @@ def test_rows_stay_themselves_when_scans_pack_files_anew(spark, monkeypatch, tmp
         assert rows(True) == rows(False)
     finally:
         spark.conf.set(key, given)
+
+
+def test_a_run_leaves_only_the_rows_of_the_last_stage(spark, monkeypatch, tmp_path):
+    import itertools
+    numbers = itertools.count()
+    monkeypatch.setattr(common, "shared_folder", lambda spark, name: str(tmp_path / f"{name}-{next(numbers)}"))
+    out = corpus_pipeline.run(spark, SF)
+    left = [p.name for p in tmp_path.iterdir()]
+    assert len(left) == 1 and left[0].startswith("pipeline-pack") and out.count() > 0
+
+
+def test_intermediates_stay_when_a_table_outside_is_stored(spark, tmp_path, monkeypatch):
+    import itertools
+    numbers = itertools.count()
+    monkeypatch.setattr(common, "shared_folder", lambda spark, name: str(tmp_path / f"{name}-{next(numbers)}"))
+    kept = common.stored(spark.range(3), "kept")
+    with common.removed_after(spark):
+        assert common.stored(spark.range(4), "gone").count() == 4
+    assert kept.count() == 3 and [p.name for p in tmp_path.iterdir()] == ["kept-0"]
