@@ -94,3 +94,12 @@ def test_a_scorer_without_a_result_leaves_the_cosine_order(spark):
     assert [r.record_id for r in got] == ["F1", "T2", "T1"]
     half = vectors.rerank(rows, "x", k=2, scorer=lambda q, text: F.when(text == "a", 0.5)).orderBy("rank").collect()
     assert [r.record_id for r in half] == ["T1", "F1"]
+
+
+def test_an_empty_store_gives_no_sources(spark, fx):
+    from churnlens.operators import vectors
+    chunks = vectors.with_hash(vectors.chunks_all(fx))
+    store = vectors.store_rows(vectors.embed(chunks.limit(0), embedded_at="2024-01-01"))
+    found = vectors.retrieve(store, "search", k=5)
+    assert found.count() == 0 and vectors.source_refs(found).count() == 0 and vectors.rerank(found, "search").count() == 0
+    assert vectors.sync_delta(chunks, store).count() == chunks.count()
