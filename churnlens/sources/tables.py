@@ -43,15 +43,19 @@ WAREHOUSE_TABLES = ("clean_customers", "audit_customers", "clean_tickets", "audi
 
 
 def source_mark(spark: SparkSession, sf_dir: str) -> str:
-    """A digest of the source folder and of its files' names, sizes and times."""
+    """A digest of the source folder: its total size and number of files, and name, size and time of each table in it.
+
+    One summary and one listing of the folder itself, however many files its tables hold; a table's
+    folder changes its time when a file in it is added, removed or replaced.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder = sf_dir.rstrip("/")
     root = jvm.org.apache.hadoop.fs.Path(folder)
-    found, seen = root.getFileSystem(conf).listFiles(root, True), []
-    while found.hasNext():
-        f = found.next()
-        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
-    return f"{folder} {hashlib.sha256(chr(10).join(sorted(seen)).encode()).hexdigest()}"
+    fs = root.getFileSystem(conf)
+    whole = fs.getContentSummary(root)
+    seen = [f"{whole.getLength()} {whole.getFileCount()} {whole.getDirectoryCount()}"]
+    seen += sorted(f"{s.getPath().getName()} {s.getLen()} {s.getModificationTime()}" for s in fs.listStatus(root))
+    return f"{folder} {hashlib.sha256(chr(10).join(seen).encode()).hexdigest()}"
 
 
 def warehouse_for(spark: SparkSession, sf_dir: str) -> str | None:

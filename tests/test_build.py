@@ -43,3 +43,13 @@ def test_a_changed_source_is_not_served_from_an_old_warehouse(spark, tmp_path):
     finally:
         spark.conf.unset(WAREHOUSE_CONF)
         spark.conf.unset(WAREHOUSE_SOURCE_CONF)
+
+
+def test_a_replaced_file_inside_a_table_is_noticed(spark, tmp_path):
+    from churnlens.sources.tables import source_mark
+    table = tmp_path / "documents.parquet"
+    spark.range(10).write.parquet(str(table))
+    first = source_mark(spark, str(tmp_path))
+    assert source_mark(spark, str(tmp_path) + "/") == first
+    spark.range(10).write.mode("append").parquet(str(table))
+    assert source_mark(spark, str(tmp_path)) != first
