@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from churnlens.functions import lexicons as L
+from churnlens.functions import rules
 from churnlens.operators import calls, evaluation, guards, intents
+from churnlens.plans import registry
 from churnlens.sources import logs
 from churnlens.sources.tables import Model
 
@@ -85,3 +88,22 @@ def test_names_meet_only_customers_that_hold_their_longest_run(spark):
     every = spark.createDataFrame([("resolve_customer_name", n, {"name": n}) for n in names[:40]], "tool string, request string, args map<string,string>")
     assert calls._named(m, every).count() == 40
     assert "1,3}" not in plan(calls._named(m, every))
+
+
+def test_plain_words_are_found_without_a_regular_expression(spark):
+    texts = [None, "", "multi-user", "a plan  cost", "the plan cost", "it fails", "failed", "fai ls", "breakdown", "(bad|worst)", "sso\nbug"]
+    lists = [p for _, p in L.THEMES_SQL + L.THEMES_ENRICHED] + [L.SENTIMENT_POSITIVE, L.SENTIMENT_NEGATIVE, L.SENTIMENT_SQL_NEGATIVE]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for p in lists:
+        assert df.where(~rules.matches(F.col("text"), p).eqNullSafe(F.col("text").rlike(p))).count() == 0, p
+    assert "RLIKE" not in plan(df.select(rules.first_match(F.col("text"), L.THEMES_SQL, "other")))
+
+
+def test_tables_without_an_order_are_written_as_they_come(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(registry.files, "write_csv", lambda df, path: written.append(plan(df)))
+    monkeypatch.setattr(registry.files, "read_raw_csv", lambda spark, path, name: None)
+    m = Model(spark, SF)
+    for name, attr in registry.CSV_TABLES.items():
+        registry._csv_round_trip(m, name, getattr(m, attr))
+        assert ("Sort [" in written[-1]) == (name in registry.files.ORDERED), name
