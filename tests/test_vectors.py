@@ -1,5 +1,7 @@
 """Embedding, incremental sync and retrieval."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from churnlens.operators import vectors
@@ -50,3 +52,23 @@ def test_retrieve_and_rerank(fx):
     assert rows[0].record_id == "FDB-0001"
     rr = vectors.rerank(top, "search feature", k=3).orderBy("rank").collect()
     assert rr[0].record_id == "FDB-0001" and len(rr) == 3
+
+
+def test_vectors_are_made_a_batch_at_a_time(spark):
+    texts = ["Pay pay BILL", " pay?", "", "?!", None, "K İ xéy"]  # the Kelvin sign lower-cased is a plain k
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    embedded = vectors.embed(df, embedded_at="2024-01-01")
+    plan = embedded._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "md5(" not in plan  # a hash per different word of a batch, not per word
+
+    def unit(*counts):
+        slots = {}
+        for word, n in counts:
+            k = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % vectors.DEFAULT_DIM
+            slots[k] = slots.get(k, 0.0) + n
+        norm = sum(n * n for n in slots.values()) ** 0.5
+        return {k: n / norm for k, n in slots.items()}
+    got = {r.i: r.embedding for r in embedded.collect()}
+    assert got == {0: unit(("pay", 2), ("bill", 1)), 1: unit(("pay", 1)), 2: None, 3: None, 4: None,
+                   5: unit(("k", 1), ("i", 1), ("x", 1), ("y", 1))}
+    assert {r.i: r.embedding for r in vectors.embed(df.where("i > 9"), embedded_at="2024-01-01").collect()} == {}
