@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from churnlens import session
 from churnlens.functions import lexicons as L
 from churnlens.functions import rules
 from churnlens.operators import calls, evaluation, guards, intents
@@ -107,3 +108,23 @@ def test_tables_without_an_order_are_written_as_they_come(spark, monkeypatch):
     for name, attr in registry.CSV_TABLES.items():
         registry._csv_round_trip(m, name, getattr(m, attr))
         assert ("Sort [" in written[-1]) == (name in registry.files.ORDERED), name
+
+
+def test_chunks_and_vectors_are_written_in_small_tasks(spark, monkeypatch):
+    size, split = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
+    seen, append = [], registry.files.append_rows
+    monkeypatch.setattr(registry.files, "append_rows", lambda df, path: seen.append(
+        (spark.conf.get(size), spark.conf.get(split))) or append(df, path))
+    spark.conf.set(size, "32m")
+    try:
+        stored = registry._appended(Model(spark, SF))
+        assert seen == [("8m", "16m")] * 3 and stored.count() > 0
+        # the session's own settings are back, also after a failure
+        assert spark.conf.get(size) == "32m" and spark.conf.get(split, None) is None
+        try:
+            with session.small_tasks(spark):
+                raise ValueError
+        except ValueError:
+            assert spark.conf.get(size) == "32m" and spark.conf.get(split, None) is None
+    finally:
+        spark.conf.unset(size)
