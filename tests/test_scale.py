@@ -112,7 +112,7 @@ def test_tables_without_an_order_are_written_as_they_come(spark, monkeypatch):
 
 def test_chunks_and_vectors_are_written_in_small_tasks(spark, monkeypatch):
     size, split = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
-    seen, append = [], registry.files.append_rows
+    seen, append, before = [], registry.files.append_rows, spark.conf.get(split, None)
     monkeypatch.setattr(registry.files, "append_rows", lambda df, path: seen.append(
         (spark.conf.get(size), spark.conf.get(split))) or append(df, path))
     spark.conf.set(size, "32m")
@@ -120,11 +120,11 @@ def test_chunks_and_vectors_are_written_in_small_tasks(spark, monkeypatch):
         stored = registry._appended(Model(spark, SF))
         assert seen == [("8m", "16m")] * 3 and stored.count() > 0
         # the session's own settings are back, also after a failure
-        assert spark.conf.get(size) == "32m" and spark.conf.get(split, None) is None
+        assert spark.conf.get(size) == "32m" and spark.conf.get(split, None) == before
         try:
             with session.small_tasks(spark):
                 raise ValueError
         except ValueError:
-            assert spark.conf.get(size) == "32m" and spark.conf.get(split, None) is None
+            assert spark.conf.get(size) == "32m" and spark.conf.get(split, None) == before
     finally:
         spark.conf.unset(size)
