@@ -81,9 +81,9 @@ def _packer(tokenizer: str, end_id: int, capacity: int, open_bins: int, block: i
         bins, held = BestFit(capacity, open_bins), []
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = enc.encode(text.as_py()) + end
-                key = doc_id.as_py()
+            keys = iter(batch.column("doc_id").to_pylist())
+            for ids in enc.each(batch.column("text")):
+                ids, key = ids + end, next(keys)
                 for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                     held.append((key, k, start, n, ids[4 * start:4 * (start + n)]))
                 if len(held) >= block:

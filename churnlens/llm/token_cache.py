@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from importlib.metadata import version as installed
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,23 +41,23 @@ def tokenizer_version(path: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def counter(path: str) -> Callable[[str], int]:
-    """Tokens of a whole text, without added special tokens, truncation or padding; one per Python worker."""
+def counter(path: str) -> Callable[[pa.Array], np.ndarray]:
+    """Tokens of whole texts, without added special tokens, truncation or padding; one per Python worker."""
     if path.endswith(".model"):
         import sentencepiece
         pieces = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda text: len(pieces.encode(text, num_threads=1))
+        return lambda texts: np.array([len(pieces.encode(t.as_py(), num_threads=1)) for t in texts], np.int64)
     own = encoder(path)
     own.tokenizer.no_truncation()
     own.tokenizer.no_padding()
-    return lambda text: len(own.encode(text)) // 4
+    return own.counts
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in batches:
-            n = [count(t.as_py()) for t in batch.column("text")]
+            n = count(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
     return run
 

@@ -29,8 +29,8 @@ from churnlens.llm import common
 from churnlens.llm.tokens import default_tokenizer, encoder
 
 MANIFEST = "part bigint, sequences string, documents string, n_documents bigint, n_tokens bigint, n_sequences bigint"
-#: chunks that a writer remembers; it holds no other large state
-CACHE = 800_000
+#: chunks that a writer remembers in each of two generations; beside them it holds one run of texts
+CACHE = 600_000
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -92,7 +92,6 @@ def _writer(folder: str, tokenizer: str, end_id: int, length: int, rows: int):
         enc = encoder(tokenizer, CACHE)
         dtype = np.dtype("<u2") if max(enc.vocab_size, end_id + 1) <= 1 << 16 else np.dtype("<u4")
         part = TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
         sink = index = out = None
         tag = uuid.uuid4().hex
         names = [f"{base}/{kind}-{part:05d}.arrows" for kind in ("sequences", "documents")]
@@ -105,14 +104,13 @@ def _writer(folder: str, tokenizer: str, end_id: int, length: int, rows: int):
                 sink = fs.open_output_stream(f"{names[0]}.{tag}")
                 index_sink = fs.open_output_stream(f"{names[1]}.{tag}")
                 out, index = _SequenceWriter(sink, dtype, length, rows), pa.ipc.new_stream(index_sink, INDEX)
-            starts, counts = [], []
-            for text in batch.column("text"):
-                ids = np.frombuffer(enc.encode(text.as_py()) + end, "<u4")
-                starts.append(out.n_tokens)
-                counts.append(len(ids))
-                out.add(ids)
-            index.write_batch(pa.record_batch([batch.column("doc_id"), pa.array(starts, pa.int64()),
-                                               pa.array(counts, pa.int64())], schema=INDEX))
+            at = 0
+            for ids, counts in enc.encode_all(batch.column("text")):
+                begin, n = out.n_tokens, counts + 1
+                out.add(np.insert(ids, np.cumsum(counts), end_id))
+                index.write_batch(pa.record_batch([batch.column("doc_id").slice(at, len(n)), pa.array(begin + np.cumsum(n) - n),
+                                                   pa.array(n)], schema=INDEX))
+                at += len(n)
             n_docs += batch.num_rows
         if out is not None:
             out.close()

@@ -7,6 +7,12 @@ chunk (a space and the word behind it) is encoded once and remembered. A chunk
 of Latin letters and closing marks is two pre-tokens, which go to the library's BPE
 model straight; any other chunk goes through the whole tokenizer. The ids equal
 those of encoding the text in one call (tests/llm/test_token_outputs.py).
+
+Texts that come as an Arrow array are cut together: each different chunk of a run of
+texts is looked up once, and the ids of all its places are gathered by numpy. There
+newlines are cut out too. In a run of one or two white-space characters that does not
+end the text, each is a pre-token or the start of one; a text with other runs is
+encoded by itself.
 """
 
 from __future__ import annotations
@@ -16,9 +22,12 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: white space on both sides of a space: such a run can hold tokens across the cut
 _LOOSE = re.compile(r"\s \s")
@@ -26,6 +35,15 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,./:;<=>?@\[\]|-]*)")
 
 
+#: what any library takes for white space, in the words of Arrow's regular expressions
+_WHITE = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+_LONG_RUN = rf"{_WHITE}{_WHITE}(?:{_WHITE}|\z)"
+#: stands between the chunks of a text; texts that hold it are encoded by themselves
+_BETWEEN = "\x00"
+#: UTF-8 bytes of text that are cut together; a longer text is encoded by itself
+RUN_BYTES = 4 << 20
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -39,20 +57,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """text -> its ids as little-endian unsigned 32-bit bytes, for ``lead`` + text.
+    """text -> its ids as little-endian unsigned 32-bit bytes.
 
     When ``limit`` texts are held, they become the old generation and the one before them
     is let go; what is asked for again returns to the new one. So frequent texts stay."""
 
-    def __init__(self, encode, lead: str, limit: int):
+    def __init__(self, encode, limit: int):
         super().__init__()
-        self.encode, self.lead, self.limit = encode, lead, limit
+        self.encode, self.limit = encode, limit
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
         ids = self.old.get(text)
         if ids is None:
-            ids = self.encode(self.lead + text)
+            ids = self.encode(text)
         if len(text) <= 48:
             if len(self) >= self.limit:
                 self.old = dict(self)
@@ -76,9 +94,8 @@ class Encoder:
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.letters = _byte_letters()
         self.model = self.tokenizer.model
-        self.marks = _Cache(self._pre_token, "", 10_000)
-        self.first = _Cache(self._chunk, "", 10_000)
-        self.rest = _Cache(self._chunk, " ", cache_entries)
+        self.marks = _Cache(self._pre_token, 10_000)
+        self.chunks = _Cache(self._chunk, cache_entries)
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -100,7 +117,7 @@ class Encoder:
         word, marks = plain.groups()
         if not marks:
             return self._pre_token(word)
-        return (self.rest[word[1:]] if word[0] == " " else self._pre_token(word)) + self.marks[marks]
+        return self.chunks[word] + self.marks[marks]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers; null counts as empty."""
@@ -108,8 +125,71 @@ class Encoder:
             return b""
         if not self.cuts or any(t in text for t in self.added):
             return self._direct(text)
-        chunks = _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-        return self.first[chunks[0]] + b"".join(map(self.rest.__getitem__, chunks[1:]))
+        first, *rest = _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
+        return self.chunks[first] + b"".join([self.chunks[" " + chunk] for chunk in rest])
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The pieces of all texts as numbers, where each text's begin, and the ids of each numbered piece."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.cuts:
+            return np.arange(len(texts)), np.arange(len(texts)), [self._direct(t) if t else b"" for t in texts.to_pylist()]
+        alone = pc.or_(pc.match_substring_regex(texts, _LONG_RUN), pc.greater(pc.binary_length(texts), RUN_BYTES))
+        for part in (_BETWEEN, *self.added):
+            alone = pc.or_(alone, pc.match_substring(texts, part))
+        marked = pc.if_else(alone, "", texts)
+        for old, new in ((" ", f"{_BETWEEN} "), ("\n", f"{_BETWEEN}\n{_BETWEEN}")):
+            marked = pc.replace_substring(marked, old, new)
+        cut = pc.split_pattern(marked, _BETWEEN)
+        pieces = cut.flatten().dictionary_encode()
+        numbers, begins = pieces.indices.to_numpy(), cut.offsets.to_numpy()[:-1]
+        ids = [self.chunks[chunk] for chunk in pieces.dictionary.to_pylist()]
+        if pc.any(alone).as_py():
+            numbers = numbers.copy()
+            for i in np.flatnonzero(alone.to_numpy(zero_copy_only=False)):
+                numbers[begins[i]] = len(ids)  # its one piece
+                ids.append(self.encode(texts[i].as_py()))
+        return numbers, begins, ids
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        found = [np.empty(0, np.int64)]
+        for run in runs(texts):
+            numbers, begins, ids = self._cut(run)
+            found.append(np.add.reduceat(_lengths(ids)[numbers], begins))
+        return np.concatenate(found)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For runs of texts, in their order: all ids in a row, and the number of ids of each text."""
+        for run in runs(texts):
+            numbers, begins, ids = self._cut(run)
+            lengths = _lengths(ids)
+            held = np.frombuffer(b"".join(ids), "<u4")
+            n = lengths[numbers]
+            ends = np.cumsum(n)
+            # the places of the row's ids among the held ones
+            at = np.repeat((np.cumsum(lengths) - lengths)[numbers] - (ends - n), n)
+            at += np.arange(len(at))
+            yield held[at], np.add.reduceat(n, begins)
+
+    def each(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        for ids, n in self.encode_all(texts):
+            held, ends = ids.tobytes(), np.cumsum(n)
+            for a, b in zip((4 * (ends - n)).tolist(), (4 * ends).tolist(), strict=True):
+                yield held[a:b]
+
+
+def _lengths(ids: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def runs(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in runs of about ``RUN_BYTES``, so that memory does not grow with an Arrow batch."""
+    if len(texts):
+        before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(before // RUN_BYTES)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+            yield texts.slice(a, b - a)
 
 
 @lru_cache(maxsize=2)

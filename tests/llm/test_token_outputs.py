@@ -6,10 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from churnlens.llm import common, packing, token_files
+from churnlens.llm import common, packing, token_files, tokens
 from churnlens.llm.tokens import Encoder, default_tokenizer
 
 PATH = default_tokenizer()
@@ -34,6 +35,37 @@ def test_cut_texts_have_the_ids_of_whole_texts(direct):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == direct(text), repr(text)
 
 
+def test_texts_of_an_array_have_the_ids_of_whole_texts(direct, monkeypatch):
+    monkeypatch.setattr(tokens, "RUN_BYTES", 300)  # many runs, and texts too long to be cut
+    encoder, rng = Encoder(PATH, cache_entries=50), random.Random(6)
+    parts = [" ", " ", "\n", "\n", "  ", "\t", "\r\n", "\x00", "\u00a0", "\u2003", "\x1c", "\x85", "a", "don't", "'s", " 's", "12", "\u00e9t\u00e9",
+             "\U0001f600", "!?", "<|endoftext|>", "\u4f60\u597d", ".", "word", "word,", " end.\nWord"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    texts += [None, "", "long " * 100, "\n", " ", "\n\n", "x\n\n\ny", "x \n y"]
+    want = [direct(t) for t in texts]
+    for array in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["x", *texts]).slice(1)):
+        ids, n = (np.concatenate(x) for x in zip(*encoder.encode_all(array), strict=True))
+        assert n.tolist() == encoder.counts(array).tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.each(array)] == want
+    assert not list(encoder.encode_all(pa.array([], pa.string()))) and len(encoder.counts(pa.array([], pa.string()))) == 0
+
+
+def test_each_different_chunk_of_an_array_is_looked_up_once(direct):
+    encoder, looked = Encoder(PATH), []
+
+    class Counted(dict):
+        def __getitem__(self, chunk):
+            looked.append(chunk)
+            return np.array(direct(chunk), "<u4").tobytes()
+
+    encoder.chunks = Counted()
+    texts = [f"one two one\ntwo {i % 3}" for i in range(300)]
+    (ids, n), = encoder.encode_all(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in direct(t)] and len(n) == 300
+    assert sorted(looked) == sorted({"one", " two", " one", "\n", "two", " 0", " 1", " 2"})
+
+
 def test_files_hold_every_id_in_order(spark, docs, rows, direct):
     folder = common.shared_folder(spark, "t")
     manifest = token_files.write_sequences(docs, folder, length=64, rows_per_batch=4)
