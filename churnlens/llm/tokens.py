@@ -20,8 +20,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,11 +30,9 @@ import pyarrow.compute as pc
 #: white space on both sides of a space: such a run can hold tokens across the cut
 _LOOSE = re.compile(r"\s \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,./:;<=>?@\[\]|-]*)")
-
-
+_MARKS = "!\"#$%&()*+,./:;<=>?@[]|-"
 #: what any library takes for white space, in the words of Arrow's regular expressions
-_WHITE = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LONG_RUN = rf"{_WHITE}{_WHITE}(?:{_WHITE}|\z)"
 #: stands between the chunks of a text; texts that hold it are encoded by themselves
 _BETWEEN = "\x00"
@@ -93,6 +89,7 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.letters = _byte_letters()
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values(), default=0) + 1)]
         self.model = self.tokenizer.model
         self.marks = _Cache(self._pre_token, 10_000)
         self.chunks = _Cache(self._chunk, cache_entries)
@@ -105,19 +102,18 @@ class Encoder:
             letters = part.replace(" ", self.letters[32])
         else:
             letters = part.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.model.tokenize(letters)])
-        if sys.byteorder != "little":
-            ids.byteswap()
-        return ids.tobytes()
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[t.id] for t in self.model.tokenize(letters)])
 
     def _chunk(self, chunk: str) -> bytes:
-        plain = _PLAIN.fullmatch(chunk)
-        if plain is None:
+        word = chunk.rstrip(_MARKS)
+        letters = word.removeprefix(" ")
+        # Latin letters, which every version of Unicode has as letters
+        if not (letters.isalpha() and (letters.isascii() or max(letters) <= "\u024f")):
             return self._direct(chunk)
-        word, marks = plain.groups()
-        if not marks:
+        if word == chunk:
             return self._pre_token(word)
-        return self.chunks[word] + self.marks[marks]
+        return self.chunks[word] + self.marks[chunk[len(word):]]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers; null counts as empty."""
@@ -142,7 +138,7 @@ class Encoder:
         cut = pc.split_pattern(marked, _BETWEEN)
         pieces = cut.flatten().dictionary_encode()
         numbers, begins = pieces.indices.to_numpy(), cut.offsets.to_numpy()[:-1]
-        ids = [self.chunks[chunk] for chunk in pieces.dictionary.to_pylist()]
+        ids = list(map(self.chunks.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False)))
         if pc.any(alone).as_py():
             numbers = numbers.copy()
             for i in np.flatnonzero(alone.to_numpy(zero_copy_only=False)):
