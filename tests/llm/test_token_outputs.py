@@ -48,6 +48,8 @@ def test_texts_of_an_array_have_the_ids_of_whole_texts(direct, monkeypatch):
         assert n.tolist() == encoder.counts(array).tolist() == [len(w) for w in want]
         assert ids.tolist() == [i for w in want for i in w]
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.each(array)] == want
+    encoder.cuts = False  # as for other tokenizers
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.each(pa.array(texts))] == want
     assert not list(encoder.encode_all(pa.array([], pa.string()))) and len(encoder.counts(pa.array([], pa.string()))) == 0
 
 
