@@ -31,6 +31,7 @@ from churnlens.llm.tokens import default_tokenizer, encoder
 MANIFEST = "part bigint, sequences string, documents string, n_documents bigint, n_tokens bigint, n_sequences bigint"
 #: chunks that a writer remembers in each of two generations; beside them it holds one run of texts
 CACHE = 600_000
+RUN_BYTES = 4 << 20
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -89,7 +90,7 @@ class _SequenceWriter:
 def _writer(folder: str, tokenizer: str, end_id: int, length: int, rows: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
-        enc = encoder(tokenizer, CACHE)
+        enc = encoder(tokenizer, CACHE, RUN_BYTES)
         dtype = np.dtype("<u2") if max(enc.vocab_size, end_id + 1) <= 1 << 16 else np.dtype("<u4")
         part = TaskContext.get().partitionId()
         sink = index = out = None

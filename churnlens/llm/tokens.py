@@ -36,8 +36,6 @@ _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\
 _LONG_RUN = rf"{_WHITE}{_WHITE}(?:{_WHITE}|\z)"
 #: stands between the chunks of a text; texts that hold it are encoded by themselves
 _BETWEEN = "\x00"
-#: UTF-8 bytes of text that are cut together; a longer text is encoded by itself
-RUN_BYTES = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -53,20 +51,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """text -> its ids as little-endian unsigned 32-bit bytes.
+    """text -> its ids as little-endian unsigned 32-bit bytes, for ``lead`` + text.
 
     When ``limit`` texts are held, they become the old generation and the one before them
     is let go; what is asked for again returns to the new one. So frequent texts stay."""
 
-    def __init__(self, encode, limit: int):
+    def __init__(self, encode, lead: str, limit: int):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.lead, self.limit = encode, lead, limit
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
         ids = self.old.get(text)
         if ids is None:
-            ids = self.encode(text)
+            ids = self.encode(self.lead + text)
         if len(text) <= 48:
             if len(self) >= self.limit:
                 self.old = dict(self)
@@ -76,7 +74,10 @@ class _Cache(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    """Texts of an array are cut together up to ``run_bytes`` of UTF-8; a longer text is encoded by itself."""
+
+    def __init__(self, path: str, cache_entries: int = 400_000, run_bytes: int = 4 << 20):
+        self.run_bytes = run_bytes
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -91,8 +92,9 @@ class Encoder:
         self.letters = _byte_letters()
         self.id_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values(), default=0) + 1)]
         self.model = self.tokenizer.model
-        self.marks = _Cache(self._pre_token, 10_000)
-        self.chunks = _Cache(self._chunk, cache_entries)
+        self.marks = _Cache(self._pre_token, "", 10_000)
+        self.first = _Cache(self._chunk, "", max(10_000, cache_entries // 10))
+        self.rest = _Cache(self._chunk, " ", cache_entries)
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -113,7 +115,7 @@ class Encoder:
             return self._direct(chunk)
         if word == chunk:
             return self._pre_token(word)
-        return self.chunks[word] + self.marks[chunk[len(word):]]
+        return (self.rest[letters] if word[0] == " " else self._pre_token(word)) + self.marks[chunk[len(word):]]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers; null counts as empty."""
@@ -122,14 +124,14 @@ class Encoder:
         if not self.cuts or any(t in text for t in self.added):
             return self._direct(text)
         first, *rest = _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-        return self.chunks[first] + b"".join([self.chunks[" " + chunk] for chunk in rest])
+        return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """The pieces of all texts as numbers, where each text's begin, and the ids of each numbered piece."""
         texts = texts.cast(pa.large_string()).fill_null("")
         if not self.cuts:
             return np.arange(len(texts)), np.arange(len(texts)), [self._direct(t) if t else b"" for t in texts.to_pylist()]
-        alone = pc.or_(pc.match_substring_regex(texts, _LONG_RUN), pc.greater(pc.binary_length(texts), RUN_BYTES))
+        alone = pc.or_(pc.match_substring_regex(texts, _LONG_RUN), pc.greater(pc.binary_length(texts), self.run_bytes))
         for part in (_BETWEEN, *self.added):
             alone = pc.or_(alone, pc.match_substring(texts, part))
         marked = pc.if_else(alone, "", texts)
@@ -138,7 +140,8 @@ class Encoder:
         cut = pc.split_pattern(marked, _BETWEEN)
         pieces = cut.flatten().dictionary_encode()
         numbers, begins = pieces.indices.to_numpy(), cut.offsets.to_numpy()[:-1]
-        ids = list(map(self.chunks.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False)))
+        ids = [self.rest[piece[1:]] if piece.startswith(" ") else self.first[piece]
+               for piece in pieces.dictionary.to_numpy(zero_copy_only=False)]
         if pc.any(alone).as_py():
             numbers = numbers.copy()
             for i in np.flatnonzero(alone.to_numpy(zero_copy_only=False)):
@@ -149,14 +152,14 @@ class Encoder:
     def counts(self, texts: pa.Array) -> np.ndarray:
         """The number of ids of each text."""
         found = [np.empty(0, np.int64)]
-        for run in runs(texts):
+        for run in runs(texts, self.run_bytes):
             numbers, begins, ids = self._cut(run)
             found.append(np.add.reduceat(_lengths(ids)[numbers], begins))
         return np.concatenate(found)
 
     def encode_all(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts, in their order: all ids in a row, and the number of ids of each text."""
-        for run in runs(texts):
+        for run in runs(texts, self.run_bytes):
             numbers, begins, ids = self._cut(run)
             lengths = _lengths(ids)
             held = np.frombuffer(b"".join(ids), "<u4")
@@ -167,28 +170,21 @@ class Encoder:
             at += np.arange(len(at))
             yield held[at], np.add.reduceat(n, begins)
 
-    def each(self, texts: pa.Array) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        for ids, n in self.encode_all(texts):
-            held, ends = ids.tobytes(), np.cumsum(n)
-            for a, b in zip((4 * (ends - n)).tolist(), (4 * ends).tolist(), strict=True):
-                yield held[a:b]
-
 
 def _lengths(ids: list[bytes]) -> np.ndarray:
     return np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
 
-def runs(texts: pa.Array) -> Iterator[pa.Array]:
-    """``texts`` in runs of about ``RUN_BYTES``, so that memory does not grow with an Arrow batch."""
+def runs(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """``texts`` in runs of about ``size`` bytes, so that memory does not grow with an Arrow batch."""
     if len(texts):
         before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        cuts = np.flatnonzero(np.diff(before // RUN_BYTES)) + 1
+        cuts = np.flatnonzero(np.diff(before // size)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True):
             yield texts.slice(a, b - a)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, cache_entries: int = 400_000) -> Encoder:
+def encoder(path: str, cache_entries: int = 400_000, run_bytes: int = 4 << 20) -> Encoder:
     """One encoder per Python worker; an entry of the cache takes about 200 bytes."""
-    return Encoder(path, cache_entries)
+    return Encoder(path, cache_entries, run_bytes)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from churnlens.llm import common, packing, token_files, tokens
+from churnlens.llm import common, packing, token_files
 from churnlens.llm.tokens import Encoder, default_tokenizer
 
 PATH = default_tokenizer()
@@ -35,9 +35,9 @@ def test_cut_texts_have_the_ids_of_whole_texts(direct):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == direct(text), repr(text)
 
 
-def test_texts_of_an_array_have_the_ids_of_whole_texts(direct, monkeypatch):
-    monkeypatch.setattr(tokens, "RUN_BYTES", 300)  # many runs, and texts too long to be cut
-    encoder, rng = Encoder(PATH, cache_entries=50), random.Random(6)
+def test_texts_of_an_array_have_the_ids_of_whole_texts(direct):
+    # many runs, and texts too long to be cut
+    encoder, rng = Encoder(PATH, cache_entries=50, run_bytes=300), random.Random(6)
     parts = [" ", " ", "\n", "\n", "  ", "\t", "\r\n", "\x00", "\u00a0", "\u2003", "\x1c", "\x85", "a", "don't", "'s", " 's", "12", "\u00e9t\u00e9",
              "\U0001f600", "!?", "<|endoftext|>", "\u4f60\u597d", ".", "word", "word,", " end.\nWord"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
@@ -47,9 +47,8 @@ def test_texts_of_an_array_have_the_ids_of_whole_texts(direct, monkeypatch):
         ids, n = (np.concatenate(x) for x in zip(*encoder.encode_all(array), strict=True))
         assert n.tolist() == encoder.counts(array).tolist() == [len(w) for w in want]
         assert ids.tolist() == [i for w in want for i in w]
-        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.each(array)] == want
     encoder.cuts = False  # as for other tokenizers
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.each(pa.array(texts))] == want
+    assert np.concatenate([ids for ids, _ in encoder.encode_all(pa.array(texts))]).tolist() == [i for w in want for i in w]
     assert not list(encoder.encode_all(pa.array([], pa.string()))) and len(encoder.counts(pa.array([], pa.string()))) == 0
 
 
@@ -57,11 +56,14 @@ def test_each_different_chunk_of_an_array_is_looked_up_once(direct):
     encoder, looked = Encoder(PATH), []
 
     class Counted(dict):
+        lead = ""
+
         def __getitem__(self, chunk):
-            looked.append(chunk)
-            return np.array(direct(chunk), "<u4").tobytes()
+            looked.append(self.lead + chunk)
+            return np.array(direct(looked[-1]), "<u4").tobytes()
 
-    encoder.chunks = Counted()
+    encoder.first, encoder.rest = Counted(), Counted()
+    encoder.rest.lead = " "
     texts = [f"one two one\ntwo {i % 3}" for i in range(300)]
     (ids, n), = encoder.encode_all(pa.array(texts))
     assert ids.tolist() == [i for t in texts for i in direct(t)] and len(n) == 300
